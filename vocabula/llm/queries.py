@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabula.llm import canonical, cooccurrence, frequency, leaks
+from vocabula.llm import canonical, cooccurrence, frequency, keyword_spam, leaks
 from vocabula.session import table
 
 
@@ -113,7 +113,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p9_found": p9_found}
+# 10 -----------------------------------------------------------------------------------------------------------------
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_spam.spam(table(spark, sf_dir, "documents")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE = {
     "p1_found": _P1_SQL + "SELECT f.src, g.keep_id, f.id AS dup_id FROM forms f JOIN groups g USING (src, name, al) WHERE f.id <> g.keep_id",
     "p1_copies": _P1_SQL + "SELECT src, keep_id, copies FROM groups",
