@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabula.llm import canonical, cooccurrence, frequency, keyword_spam, leaks
+from vocabula.llm import canonical, cooccurrence, frequency, keyword_spam, leaks, packing
 from vocabula.session import table
 
 
@@ -108,6 +108,16 @@ marked AS (
 """
 
 
+# 8 ------------------------------------------------------------------------------------------------------------------
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacities = [r["capacity"] for r in table(spark, sf_dir, "pack_sizes").select("capacity").distinct().collect()]
+    return packing.containers(table(spark, sf_dir, "documents"), capacities)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -118,7 +128,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_spam.spam(table(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE = {
     "p1_found": _P1_SQL + "SELECT f.src, g.keep_id, f.id AS dup_id FROM forms f JOIN groups g USING (src, name, al) WHERE f.id <> g.keep_id",
     "p1_copies": _P1_SQL + "SELECT src, keep_id, copies FROM groups",
