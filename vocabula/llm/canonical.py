@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vocabula.scale import cut, join_on_groups, total
 
@@ -19,7 +20,7 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

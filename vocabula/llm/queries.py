@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabula.llm import canonical, cooccurrence, frequency, keyword_spam, leaks, packing
+from vocabula.llm import canonical, cooccurrence, frequency, keyword_spam, leaks, packing, value_mapping
 from vocabula.session import table
 
 
@@ -108,6 +108,21 @@ marked AS (
 """
 
 
+# 6 ------------------------------------------------------------------------------------------------------------------
+FIELDS = ["status", "type", "kind"]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = value_mapping.cells(table(spark, sf_dir, "work_items"), "item_row", FIELDS)
+    return value_mapping.assign(cells, table(spark, sf_dir, "canonical_values")).withColumnRenamed("key", "item_row").distinct()
+
+
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct typed value with its entry, or reported as unmatched."""
+    cells = value_mapping.cells(table(spark, sf_dir, "work_items"), "item_row", FIELDS)
+    return value_mapping.decide(cells, table(spark, sf_dir, "canonical_values"))
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacities = [r["capacity"] for r in table(spark, sf_dir, "pack_sizes").select("capacity").distinct().collect()]
@@ -128,7 +143,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_spam.spam(table(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_values": p6_values, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE = {
     "p1_found": _P1_SQL + "SELECT f.src, g.keep_id, f.id AS dup_id FROM forms f JOIN groups g USING (src, name, al) WHERE f.id <> g.keep_id",
     "p1_copies": _P1_SQL + "SELECT src, keep_id, copies FROM groups",
