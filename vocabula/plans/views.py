@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocabula.semantics import latest
@@ -28,16 +28,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first delivery of each usage event."""
-    t = table(spark, sf_dir, "usage_signals")
-    rest = [c for c in t.columns if c != "event_id"]
-    return t.groupBy("event_id").agg(F.min_by(F.struct(*rest), "receivedAt").alias("r")).select("event_id", "r.*")
+    w = Window.partitionBy("event_id").orderBy("receivedAt")
+    return table(spark, sf_dir, "usage_signals").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pull request once, though it may have been fetched twice."""
-    t = table(spark, sf_dir, "pull_requests")
-    rest = [c for c in t.columns if c != "number"]
-    return t.groupBy("number").agg(F.max_by(F.struct(*rest), F.coalesce(F.size("changedFiles"), F.lit(-1))).alias("r")).select("number", "r.*")
+    t = table(spark, sf_dir, "pull_requests").withColumn("_files", F.coalesce(F.size("changedFiles"), F.lit(-1)))
+    return latest(t, "number", "_files").drop("_files")
 
 
 TERMS_SQL = "terms AS (SELECT * REPLACE (coalesce(aliases, []) AS aliases, coalesce(codeLocations, []) AS codeLocations) FROM glossary_terms QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrivedAt DESC, row_id DESC) = 1)"

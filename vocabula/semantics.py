@@ -31,10 +31,10 @@ def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key: the last in `order`. Aggregates map-side, so copies of a hot key do not meet in one task."""
-    rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return best.select(key, "r.*").select(*df.columns)
+    """One row per key: the last in `order`. Spark limits each group before the shuffle, so copies of a hot key do not meet in one task,
+    and columns that are not used later are not read."""
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def numbered(df: DataFrame, partition: list[str], order: list, name: str = "rn") -> DataFrame:
