@@ -251,7 +251,7 @@ def flatten(df: DataFrame, record: str, payload: str, lists: Mapping[str, tuple[
     """Distinct (record, parent_key, child, ord, value): one row per child. value is the child's JSON text.
 
     A lone value where a list is expected is a list of one; a null entry keeps its place but is no child; null, empty and broken
-    payloads have none. Rows are independent of each other, so nothing is shuffled but for the distinct rows of repeated records.
+    payloads have none. If a key stands twice in an object, its last list counts, but what is nested deeper in either value is read. Rows are independent of each other, so nothing is shuffled but for the distinct rows of repeated records.
     """
     kept = df.select(F.col(record).alias("record"), F.col(payload).alias("payload")).filter(F.length("payload") > 1)
     lists = dict(lists)

@@ -36,4 +36,4 @@ def quality(results: DataFrame) -> DataFrame:
     """One row: 0 for no results, else 0.10 + 0.35 with locations + 0.25 mean enrichment + 0.25 confirmed, at most 1."""
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     q = F.lit(0.10) + F.lit(0.35) * share(F.col("locations") > 0) + F.lit(0.25) * F.avg("enrichment") + F.lit(0.25) * share(F.col("confidence").isin("manual", "ai-verified"))
-    return results.agg(F.count(F.lit(1)).alias("results"), F.round(F.coalesce(F.least(F.lit(1.0), q), F.lit(0.0)), 9).alias("quality"))
+    return results.agg(F.count(F.lit(1)).alias("results"), F.when(F.count(F.lit(1)) > 0, F.round(F.least(F.lit(1.0), q), 9)).otherwise(F.lit(0.0)).alias("quality"))
