@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vocabula.scale import cut, join_on_groups, total
 
-LEAST = 0.3
+LEAST = 0.25
 UNMATCHED = -1
 _BLANK = r"[\s   -​  　﻿]+"
 _NOT_WORD = r"[^\p{L}\p{N}]"
