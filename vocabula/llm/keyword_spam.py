@@ -42,7 +42,7 @@ _HANGUL = re.compile(r"[가-힣]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"#[^\s#]+")
-_ITEMS = re.compile(r"\s*[|/;,·•‣›»>~→]+\s*|\s+[-–—]\s+")
+_ITEMS = re.compile(r"\s*[|;,·•‣›»>~→]+\s*|\s+[-–—/]+\s+")  # a slash within a word is a path
 _LEAD = re.compile(r"^[\s>]*(?:[-*•·+]\s+(?:\[[ xX]\]\s+)?|\d{1,3}[.)]\s+)?")
 _LABEL = re.compile(r"^[^\W\d_][\w \-]{0,24}[:=]\s*(?=\S)")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d|\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
@@ -52,8 +52,8 @@ BINS = 100
 
 
 def language(words: list[str], text: str) -> str:
-    """ko by script; else the language with more function words, en first."""
-    if not text.isascii() and len(_HANGUL.findall(text)) * 4 > len(text):
+    """ko if three in ten words or more are written in Hangul (a path or a name in a sentence has many parts); else the language with more function words, en first."""
+    if not text.isascii() and sum(_HANGUL.search(w) is not None for w in words) * 10 >= 3 * len(words):
         return "ko"
     en, de = (sum(map(FUNCTION_WORDS[k].__contains__, words)) for k in ("en", "de"))
     return "de" if de > en else "en"
@@ -128,7 +128,7 @@ def blocks(text: str) -> tuple[int, list[tuple[str, int, int, int]]]:
                 out.append(("", 0, n, n))
                 continue
         label = _LABEL.match(rest)
-        marks = sum(map(rest.count, ",|/;·•‣›»>~→-–—"))
+        marks = sum(map(rest.count, (*",|;·•‣›»>~→–—", " / ", " - ")))
         if marks and (label or marks > 2) and rest.count(" ") < 10 * (marks + 1):
             listed = rest[label.end() :] if label else rest
             items = [x for x in _ITEMS.split(listed.strip(" |")) if _WORD.search(x)]
