@@ -145,6 +145,23 @@ def test_neighbours_share_words():
     assert s[4] > s[1] > s[2] == 0
 
 
+def shard_of(docs):
+    import numpy as np
+
+    df = Counter(t for d in docs for t in d)
+    idf = np.array([np.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) if df[t] else 0.0 for t in range(1000)])
+    return packing.Shard([np.array(d) for d in docs], [np.ones(len(d), np.uint8) for d in docs], np.array([len(d) for d in docs]), idf, 3.0)
+
+
+def test_neighbours_fill_small_windows():
+    import numpy as np
+
+    docs = [[1, 2, 3], [1, 2, 3], [7, 8, 9]] + [[20 + i] for i in range(20)]
+    sizes = np.array([300, 100, 212] + [290] * 20)
+    first = [d for box, _, d, _, _ in packing.pack(shard_of(docs), sizes, 512) if box == 0]
+    assert first[:2] == [0, 1]  # the neighbour, though text 2 would close the gap to the token
+
+
 # 9 leaks ------------------------------------------------------------------------------------------------------------
 def words_of(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
