@@ -162,6 +162,40 @@ def test_neighbours_fill_small_windows():
     assert first[:2] == [0, 1]  # the neighbour, though text 2 would close the gap to the token
 
 
+def test_neighbours_come_from_all_shards(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnp") + rnd.choice("aeiou") for _ in range(4))
+    pages = [" ".join(word() for _ in range(20)) for _ in range(60)]
+    df = clash(spark.createDataFrame([(i, pages[i // 2]) for i in range(120)], "doc_id long, text string"))
+    enc = tokens.encoding(f"{tokens.FOLDER}/{tokens.RANKS}")
+    capacity = 2 * max(len(enc.encode_ordinary(p)) for p in pages)
+    boxes = lambda n: {r["doc_id"]: r["container_id"] for r in packing.containers(df, [capacity], shard_docs=n).collect()}
+    many, one = boxes(10), boxes(1000)
+    assert len(many) == 120 and all(many[i] == many[i + 1] for i in range(0, 120, 2))  # copies meet, wherever their hash puts them
+    assert len(set(one.values())) == len(set(many.values())) and all(one[i] == one[i + 1] for i in range(0, 120, 2))
+
+
+@pytest.mark.parametrize("capacity", [40, 150])
+def test_every_neighbour_is_asked_for(capacity):
+    import numpy as np
+
+    rnd = random.Random(capacity)
+    docs = [sorted({rnd.randrange(300) for _ in range(rnd.randint(1, 12))}) for _ in range(400)]
+    sizes = np.array([rnd.choice([0, 5, rnd.randint(1, 60)]) for _ in docs])
+    ix = shard_of(docs)
+    rows = list(packing.pack(ix, sizes, capacity))
+    assert np.array_equal(np.bincount([r[2] for r in rows], [r[4] for r in rows], len(docs)), sizes) and len({r[:2] for r in rows}) == len(rows)
+    unused = np.array([rnd.random() < 0.7 for _ in docs])
+    seeds, gaps = np.arange(50), np.array([rnd.randint(0, 40) for _ in range(50)])
+    row, text, score = ix.nearest([ix.terms[x] for x in seeds], gaps, seeds, np.full(50, 3), unused, sizes)
+    lists = packing.Lists(seeds[row], text, score)
+    for s, gap in zip(seeds.tolist(), gaps.tolist()):
+        want = [(x, d) for d, x in enumerate(ix.scores(s)) if x > 0 and unused[d] and sizes[d] <= gap and d != s]
+        near, whole = lists.of(s)
+        best = sorted((x for x, _ in want), reverse=True)[: len(near)]
+        assert np.allclose([ix.scores(s)[d] for d in near], best, rtol=1e-4) and len(set(near)) == len(near) >= min(3, len(want)) and (not whole or len(near) == len(want))
+
+
 # 9 leaks ------------------------------------------------------------------------------------------------------------
 def words_of(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
