@@ -196,6 +196,14 @@ def test_every_neighbour_is_asked_for(capacity):
         assert np.allclose([ix.scores(s)[d] for d in near], best, rtol=1e-4) and len(set(near)) == len(near) >= min(3, len(want)) and (not whole or len(near) == len(want))
 
 
+def test_nearest_of_many_that_close_the_gap():
+    import numpy as np
+
+    docs = [[1, 2, 3]] + [[20 + i] for i in range(70)] + [[1, 2, 3]]
+    first = [d for box, _, d, _, _ in packing.pack(shard_of(docs), np.array([300] + [212] * 70 + [211]), 512) if box == 0]
+    assert first[:2] == [0, 71]
+
+
 # 9 leaks ------------------------------------------------------------------------------------------------------------
 def words_of(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
