@@ -204,6 +204,14 @@ def test_nearest_of_many_that_close_the_gap():
     assert first[:2] == [0, 71]
 
 
+def test_counts_are_whole(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, " token" * 70_000)], "doc_id long, text string")
+    r = packing.sized(df, "doc_id", "text", f"{tokens.FOLDER}/{tokens.RANKS}").filter("n_tokens IS NOT NULL").first()
+    assert np.frombuffer(r["counts"], np.uint32).sum() == r["n_tokens"] >= 70_000
+
+
 # 9 leaks ------------------------------------------------------------------------------------------------------------
 def words_of(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
