@@ -63,12 +63,12 @@ def test_huge_basket(spark):
 
 
 # 5 frequencies ------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("slots", [1, 4, 512])
-def test_frequencies(spark, slots):
+@pytest.mark.parametrize("slots, near", [(1, 0), (4, 10**6), (512, 0)])
+def test_frequencies(spark, slots, near):
     rnd = random.Random(slots)
     rows = [(i % 350, [rnd.choice(["hot", "hot", "warm", "", f"v{rnd.randint(0, 60)}", "y" * 5000]) for _ in range(rnd.randint(0, 4))] + [None] * (i % 3 == 0)) for i in range(400)] + [(9999, None)]
-    occ = frequency.occurrences(clash(spark.createDataFrame(rows, "rid long, vs array<string>")), "t", "rid", "vs", many=True)
-    got = {r["value"]: (r["occurrences"], r["records"], r["n"], r["mark"]) for r in frequency.marked(frequency.frequencies(occ, slots)).collect()}
+    occ = frequency.rows(clash(spark.createDataFrame(rows, "rid long, vs array<string>")), "t", "rid", "vs", many=True)
+    got = {r["value"]: (r["occurrences"], r["records"], r["n"], r["mark"]) for r in frequency.marked(frequency.frequencies(occ, slots, near)).collect()}
     flat = [(i, v) for i, vs in rows for v in vs or [] if v]
     n = len({i for i, _ in flat})
     occurrences, records = Counter(v for _, v in flat), Counter(v for _, v in set(flat))

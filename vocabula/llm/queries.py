@@ -76,14 +76,14 @@ scored AS (
 
 # 5 ------------------------------------------------------------------------------------------------------------------
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = _union(
+    rows = _union(
         [
-            frequency.occurrences(table(spark, sf_dir, "usage_signals"), "usage_signals", "event_id", "query"),
-            frequency.occurrences(table(spark, sf_dir, "term_enrichments"), "term_enrichments", "enrichment_id", "queryPatterns", many=True),
-            frequency.occurrences(table(spark, sf_dir, "work_items"), "work_items", "id", "labels", many=True),
+            frequency.rows(table(spark, sf_dir, "usage_signals"), "usage_signals", "event_id", "query"),
+            frequency.rows(table(spark, sf_dir, "term_enrichments"), "term_enrichments", "enrichment_id", "queryPatterns", many=True),
+            frequency.rows(table(spark, sf_dir, "work_items"), "work_items", "id", "labels", many=True),
         ]
     )
-    return frequency.marked(frequency.frequencies(occ))
+    return frequency.marked(frequency.frequencies(rows))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
