@@ -131,11 +131,11 @@ def test_markdown():
 
 def test_sources(spark):
     ts = "/**\n * Entry\n */\nexport class A {\n  async run(x) {\n    if (x) { return }\n  }\n}\nexport const f = async (a) => a;\nconst K = 1;\nexport const LIMIT = 2;\nexport enum E {\n}\n"
-    got = {(c[0], c[2]): c for c in scan.parse_typescript("a/b.ts", ts)}
+    got = {(c[0], c[2]): c for c in scan.parse("a/b.ts", ts, scan.TYPESCRIPT)}
     assert got[("A", "class")][3:5] == (4, 8) and got[("A.run", "function")][5].startswith("Exported async function run")
     assert {k for k in got} == {("", "module"), ("A", "class"), ("A.run", "function"), ("f", "function"), ("LIMIT", "constant"), ("E", "enum")} and got[("", "module")][5] == "Entry"
     py = '"""Top."""\nMAX = 1\nclass _C(B):\n    """Doc."""\n    def m(self):\n        pass\n\ndef f():\n    return 1\n'
-    assert [(c[0], c[2], c[3], c[4], c[5]) for c in scan.parse_python("x.py", py)] == [("", "module", 1, 10, "Top."), ("_C", "class", 3, 7, "Doc."), ("_C.m", "function", 5, 7, "Method m"), ("f", "function", 8, 10, "Function f"), ("MAX", "constant", 2, None, "Constant MAX")]
+    assert [(c[0], c[2], c[3], c[4], c[5]) for c in scan.parse("x.py", py, scan.PYTHON)] == [("", "module", 1, 10, "Top."), ("_C", "class", 3, 7, "Doc."), ("_C.m", "function", 5, 7, "Method m"), ("f", "function", 8, 10, "Function f"), ("MAX", "constant", 2, None, "Constant MAX")]
     rows = scan.scanned(spark.createDataFrame([("a.ts", ts), ("b.py", None), ("c.zip", "x")], "path string, content string")).collect()
     assert sum(r["problem"] is None for r in rows) == 6 and [r["filePath"] for r in rows if r["problem"]] == ["b.py"]
     d = {r["id"]: (r["children"], r["description"]) for r in scan.directories(spark.createDataFrame([("src/x/a.ts",), ("src/x/b.ts",), ("dist/c.ts",)], "path string")).collect()}
@@ -178,11 +178,12 @@ def test_orphans(spark):
     assert orphans.orphans(refs.limit(0), alive).count() == 0 and orphans.orphans(refs, alive.limit(0)).count() > 3000
 
 
-@pytest.mark.parametrize("tail", [0, 5, 10**6])
-def test_hierarchy(spark, tail):
+@pytest.mark.parametrize("slow", [1, 10**6])
+def test_hierarchy(spark, monkeypatch, slow):
+    monkeypatch.setattr(hierarchy, "SLOW", slow)
     rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "b"), ("d", "zz"), ("e", "f"), ("f", "e"), ("g", "e"), ("h", "g"), ("i", "i"), ("j", " "), (None, "a")] + [(f"x{i}", "a") for i in range(40)] + [(f"y{i}", f"y{i - 1}") for i in range(1, 12)] + [("y0", "c")]
     nodes = hierarchy.links(spark.createDataFrame(rows, "id string, p string").withColumn("node", F.lit(1)), "s", "id", "p")
-    tree = hierarchy.hierarchy(nodes, with_path=True, tail=tail)
+    tree = hierarchy.hierarchy(nodes, with_path=True)
     got = {r["node_id"]: (r["root_id"], r["depth"], r["descendants"], r["path"]) for r in tree.collect()}
     parent = {n: p for n, p in rows if n}
     for n in parent:
@@ -195,7 +196,29 @@ def test_hierarchy(spark, tail):
         assert got[n] == want
     assert got["a"][2] == 54 and got["x1"][2] == 0 and len(got) == len(parent)
     assert hierarchy.descendants(tree).filter("ancestor_id = 'c'").count() == 12
-    assert hierarchy.hierarchy(nodes.limit(0), tail=tail).count() == 0
+    assert hierarchy.hierarchy(nodes.limit(0)).count() == 0
+
+
+def test_long_chains_and_random_trees(spark):
+    import random
+
+    rnd = random.Random(4)
+    up = {f"c{i}": f"c{i - 1}" if i else None for i in range(300)} | {f"l{i}": f"l{(i + 1) % 40}" for i in range(40)} | {"t0": "l7", "t1": "t0", "t2": "t1"}
+    for i in range(150):
+        up[f"r{i}"] = None if i < 3 else f"r{rnd.randrange(max(0, i - 4), i)}" if rnd.random() < 0.9 else f"c{rnd.randrange(200)}"
+    nodes = spark.createDataFrame([("s", k, p) for k, p in up.items()], "src string, node string, parent string")
+    got = {r["node_id"]: r for r in hierarchy.hierarchy(nodes).collect()}
+    below, place = dict.fromkeys(up, 0), {}
+    for k in up:
+        path = [k]
+        while up[path[-1]] is not None and len(path) <= 600:
+            path.append(up[path[-1]])
+        root = up[path[-1]] is None
+        place[k] = (path[-1], len(path) - 1) if root else ("", -1)
+        for x in path[1:] if root else ():
+            below[x] += 1
+    assert {k: (r["root_id"], r["depth"]) for k, r in got.items()} == place
+    assert all(got[k]["descendants"] == (below[k] if place[k][0] else None) for k in up)
 
 
 LISTS = {"aliases": ("alias", "id"), "changedFiles": ("changedFile", "number")}

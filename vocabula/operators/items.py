@@ -15,8 +15,8 @@ def folded(s: Column) -> Column:
     return wide_trim(F.lower(s))
 
 
-def status_category(label: Column, table: dict[str, list[str]] = d.ITEM_STATUS) -> Column:
-    return lookup(folded(label), {x: category for category, labels in table.items() for x in labels}, F.lit("unknown"))
+def status_category(label: Column, table: dict[str, str] = d.ITEM_STATUS) -> Column:
+    return lookup(folded(label), table, F.lit("unknown"))
 
 
 def item_type(written: Column, default: str = "task") -> Column:

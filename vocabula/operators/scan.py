@@ -9,6 +9,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -71,127 +72,163 @@ def directories(paths: DataFrame) -> DataFrame:
 # parsers ------------------------------------------------------------------------------------------------------------
 Concept = tuple  # name path, kind, line, end line, description, parent path or None, exported
 
-_TS = {
-    "class": re.compile(r"^\s*(export\s+)?(export\s+default\s+)?(?:abstract\s+)?class\s+(\w+)", re.A),
-    "method": re.compile(r"^\s+(?:static\s+)?(async\s+)?(?:get\s+|set\s+)?(\w+)\s*\(([^)]*)\)", re.A),
-    "function": re.compile(r"^(export\s+)?(export\s+default\s+)?(async\s+)?function\s+(\w+)\s*\(([^)]*)\)", re.A),
-    "arrow": re.compile(r"^(export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(async\s+)?\(?([^)=]*)\)?\s*=>", re.A),
-    "interface": re.compile(r"^(export\s+)?(export\s+default\s+)?interface\s+(\w+)", re.A),
-    "type": re.compile(r"^(export\s+)?type\s+(\w+)\s*=", re.A),
-    "enum": re.compile(r"^(export\s+)?(?:const\s+)?enum\s+(\w+)", re.A),
-    "constant": re.compile(r"^export\s+(?:const|let|var)\s+(\w+)\s*[=:]", re.A),
-}
-_NO_METHOD = frozenset("if for while switch catch return new super".split())
-
 
-def _block_end(lines: list[str], at: int) -> int | None:
+def _brace_end(lines: list[str], at: int) -> int | None:
     """Number of the first line where the braces opened since `at` are closed again; braces in texts count too."""
     depth, opened = 0, False
     for i in range(at, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
+        opened = opened or "{" in lines[i]
+        depth += lines[i].count("{") - lines[i].count("}")
         if opened and depth <= 0:
             return i + 1
     return None
 
 
 def _statement_end(lines: list[str], at: int) -> int | None:
+    """Of at most 50 lines the first that holds a semicolon or, behind the first one, starts at the margin."""
     return next((i + 1 for i in range(at, min(at + 50, len(lines))) if ";" in lines[i] or (i > at and lines[i][:1].strip())), None)
 
 
-def _seen(exported: bool) -> str:
-    return "Exported" if exported else "Internal"
-
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
 
-def _call(exported: bool, is_async: object, name: str, params: str) -> str:
-    return f"{_seen(exported)} {'async ' if is_async else ''}function {name}" + (f" with parameters ({params.strip()})" if params.strip() else "")
 
-
-def parse_typescript(path: str, content: str, typed: bool = True) -> list[Concept]:
-    lines = content.split("\n")
-    name = posixpath.splitext(posixpath.basename(path))[0]
-    about = f"Module {name}"
-    if m := re.match(r"/\*\*\s*\n([\s\S]*?)\*/", content):
-        kept = [x for x in (re.sub(r"^\s*\*\s?", "", y).strip() for y in m[1].split("\n")) if x and not x.startswith("@")]
-        about = kept[0] if kept else about
-    out: list[Concept] = [("", name, "module", 1, len(lines), about, None, re.search(r"\bexport\b", content, re.A) is not None)]
-    passes: list[list[Concept]] = [[], [], [], [], []]
-    for i, line in enumerate(lines):
-        if m := _TS["class"].match(line):
-            exported, cls, end = bool(m[1] or m[2]), m[3], _block_end(lines, i)
-            passes[0].append((cls, cls, "class", i + 1, end, f"{_seen(exported)} class {cls}", "", exported))
-            for j in range(i + 1, end or len(lines)):
-                k = _TS["method"].match(lines[j])
-                if k and k[2] not in _NO_METHOD and not ("=" in lines[j] and "=>" not in lines[j]):
-                    passes[0].append((f"{cls}.{k[2]}", k[2], "function", j + 1, None, _call(exported, k[1], k[2], k[3]), cls, exported))
-        if not (re.match(r"\s{2,}", line) and not line.strip().startswith("export ")):
-            if m := _TS["function"].match(line):
-                exported = bool(m[1] or m[2])
-                passes[1].append((m[4], m[4], "function", i + 1, _block_end(lines, i), _call(exported, m[3], m[4], m[5]), "", exported))
-            elif m := _TS["arrow"].match(line):
-                passes[1].append((m[2], m[2], "function", i + 1, _block_end(lines, i) or _statement_end(lines, i), _call(bool(m[1]), m[3], m[2], m[4]), "", bool(m[1])))
-        if typed:
-            if m := _TS["interface"].match(line):
-                exported = bool(m[1] or m[2])
-                passes[2].append((m[3], m[3], "interface", i + 1, _block_end(lines, i), f"{_seen(exported)} interface defining the shape of {m[3]}", "", exported))
-            elif m := _TS["type"].match(line):
-                passes[2].append((m[2], m[2], "interface", i + 1, _statement_end(lines, i), f"{_seen(bool(m[1]))} interface defining the shape of {m[2]}", "", bool(m[1])))
-            if m := _TS["enum"].match(line):
-                passes[3].append((m[2], m[2], "enum", i + 1, _block_end(lines, i), f"{_seen(bool(m[1]))} enum {m[2]}", "", bool(m[1])))
-        if (m := _TS["constant"].match(line)) and not any(x in line for x in ("=>", "function", "type ")):
-            passes[4].append((m[1], m[1], "constant", i + 1, None, f"Exported constant {m[1]}", "", True))
-    return out + [c for p in passes for c in p]
-
-
-_PY_CLASS = re.compile(r"^class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:", re.A)
-_PY_DEF = re.compile(r"^(\s{4})?(async\s+)?def\s+(\w+)\s*\(([^)]*)\)", re.A)
-_PY_CONST = re.compile(r"^([A-Z][A-Z0-9_]+)\s*[=:]")
+def _indent_end(lines: list[str], at: int) -> int:
+    """Number of lines up to the next that is indented no deeper; empty and comment lines do not count."""
+    deep = _indent(lines[at])
+    return next((i for i in range(at + 1, len(lines)) if lines[i].strip() and lines[i].lstrip()[0] != "#" and _indent(lines[i]) <= deep), len(lines))
 
 
-def _indent_end(lines: list[str], at: int) -> int:
-    indent = len(lines[at]) - len(lines[at].lstrip())
-    for i in range(at + 1, len(lines)):
-        bare = lines[i].strip()
-        if bare and not bare.startswith("#") and len(lines[i]) - len(lines[i].lstrip()) <= indent:
-            return i
-    return len(lines)
+def _no_end(lines: list[str], at: int) -> None:
+    return None
 
 
 def _docstring(lines: list[str], at: int) -> str | None:
-    if at >= len(lines):
-        return None
-    bare = lines[at].strip()
-    if m := re.match(r'(?:"""(.+?)"""|\'\'\'(.+?)\'\'\')', bare):
-        return (m[1] or m[2]).strip()
-    if bare[:3] in ('"""', "'''") and any(lines[i].strip().endswith(bare[:3]) for i in range(at + 1, min(at + 20, len(lines)))):
+    bare = lines[at].strip() if at < len(lines) else ""
+    if m := re.match(r'(?P<q>"""|\'\'\')(?P<text>.+?)(?P=q)', bare):
+        return m["text"].strip()
+    if bare[:3] in ('"""', "'''") and any(x.strip().endswith(bare[:3]) for x in lines[at + 1 : at + 20]):
         return bare[3:].strip() or lines[at + 1].strip() or None
     return None
 
 
-def parse_python(path: str, content: str) -> list[Concept]:
+@dataclass(frozen=True)
+class Rule:
+    """One kind of declaration. Groups of `form`: name, and as they apply export, async, params, bases, deep. Rules of one rank exclude
+    each other on a line, the first one wins; concepts come out by rank, then by line."""
+
+    rank: int
+    kind: str
+    form: re.Pattern
+    end: Callable[[list[str], int], int | None]
+    about: Callable[[dict, list[str], int], str]
+    exported: Callable[[dict], bool]
+    fits: Callable[[dict, str], bool] = lambda g, line: True
+    member: "Rule | None" = None
+
+
+@dataclass(frozen=True)
+class Grammar:
+    rules: tuple[Rule, ...]
+    module: Callable[[str, str], tuple[str, bool]]  # description and whether it is exported, by name and content
+
+
+def parse(path: str, content: str, grammar: Grammar) -> list[Concept]:
+    """The module and its declarations: every line is held against every rule of the grammar, members within their owner's lines."""
     lines = content.split("\n")
     name = posixpath.splitext(posixpath.basename(path))[0]
-    m = re.match(r'(?:#[^\n]*\n)*\s*(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\')', content)
-    first = next((x.strip() for x in (m[1] or m[2] or "").split("\n") if x.strip()), None) if m else None
-    out: list[Concept] = [("", name, "module", 1, len(lines), first or f"Module {name}", None, not name.startswith("_") or name == "__init__")]
-    classes, functions, constants = [], [], []
+    about, seen = grammar.module(name, content)
+    found: list[tuple[int, int, list[Concept]]] = []
     for i, line in enumerate(lines):
-        if m := _PY_CLASS.match(line):
-            cls, bases, end = m[1], (m[2] or "").strip(), _indent_end(lines, i)
-            about = _docstring(lines, i + 1) or (f"Class {cls} extending {bases}" if bases else f"Class {cls}")
-            classes.append((cls, cls, "class", i + 1, end, about, "", not cls.startswith("_")))
-            for j in range(i + 1, end):
-                if (k := _PY_DEF.match(lines[j])) and k[1]:
-                    private = k[3].startswith("_") and not k[3].startswith("__")
-                    classes.append((f"{cls}.{k[3]}", k[3], "function", j + 1, _indent_end(lines, j), _docstring(lines, j + 1) or f"Method {k[3]}", cls, not private))
-        elif (m := _PY_DEF.match(line)) and not m[1]:
-            functions.append((m[3], m[3], "function", i + 1, _indent_end(lines, i), _docstring(lines, i + 1) or f"Function {m[3]}", "", not m[3].startswith("_")))
-        elif m := _PY_CONST.match(line):
-            constants.append((m[1], m[1], "constant", i + 1, None, f"Constant {m[1]}", "", True))
-    return out + classes + functions + constants
+        taken: set[int] = set()
+        for r in grammar.rules:
+            m = None if r.rank in taken else r.form.match(line)
+            if m is None or not r.fits(m.groupdict(), line):
+                continue
+            taken.add(r.rank)
+            g, end = m.groupdict(), r.end(lines, i)
+            own: list[Concept] = [(g["name"], g["name"], r.kind, i + 1, end, r.about(g, lines, i), "", r.exported(g))]
+            for j in range(i + 1, end or len(lines)) if r.member else ():
+                k = r.member.form.match(lines[j])
+                if k and r.member.fits(k.groupdict(), lines[j]):
+                    h = {**k.groupdict(), "owner_exported": own[0][-1]}
+                    own.append((f"{g['name']}.{h['name']}", h["name"], r.member.kind, j + 1, r.member.end(lines, j), r.member.about(h, lines, j), g["name"], r.member.exported(h)))
+            found.append((r.rank, i, own))
+    found.sort(key=lambda x: x[:2])
+    return [("", name, "module", 1, len(lines), about, None, seen), *(c for _, _, own in found for c in own)]
+
+
+def _word(exported: bool) -> str:
+    return "Exported" if exported else "Internal"
+
+
+def _called(g: dict, exported: bool) -> str:
+    params = g["params"].strip()
+    return f"{_word(exported)} {'async ' if g['async'] else ''}function {g['name']}" + (f" with parameters ({params})" if params else "")
+
+
+def _marked(g: dict) -> bool:
+    return bool(g["export"])
+
+
+def _ts_module(name: str, content: str) -> tuple[str, bool]:
+    m = re.match(r"/\*\*\s*\n([\s\S]*?)\*/", content)
+    told = (re.sub(r"^\s*\*\s?", "", x).strip() for x in m[1].split("\n")) if m else ()
+    return next((x for x in told if x and not x.startswith("@")), f"Module {name}"), re.search(r"\bexport\b", content, re.A) is not None
+
+
+def _py_module(name: str, content: str) -> tuple[str, bool]:
+    m = re.match(r'(?:#[^\n]*\n)*\s*(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\')', content)
+    told = (x.strip() for x in (m[1] or m[2] or "").split("\n")) if m else ()
+    return next((x for x in told if x), f"Module {name}"), not name.startswith("_") or name == "__init__"
+
+
+#: Forms of declarations by language, and words that are no methods (fixed values).
+FORMS = {
+    "ts class": r"^\s*(?P<export>export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<name>\w+)",
+    "ts method": r"^\s+(?:static\s+)?(?P<async>async\s+)?(?:get\s+|set\s+)?(?P<name>\w+)\s*\((?P<params>[^)]*)\)",
+    "ts function": r"^(?P<export>export\s+(?:default\s+)?)?(?P<async>async\s+)?function\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)",
+    "ts arrow": r"^(?P<export>export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?P<async>async\s+)?\(?(?P<params>[^)=]*)\)?\s*=>",
+    "ts interface": r"^(?P<export>export\s+(?:default\s+)?)?interface\s+(?P<name>\w+)",
+    "ts type": r"^(?P<export>export\s+)?type\s+(?P<name>\w+)\s*=",
+    "ts enum": r"^(?P<export>export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)",
+    "ts constant": r"^export\s+(?:const|let|var)\s+(?P<name>\w+)\s*[=:]",
+    "py class": r"^class\s+(?P<name>\w+)\s*(?:\((?P<bases>[^)]*)\))?\s*:",
+    "py def": r"^(?P<deep>\s{4})?(?:async\s+)?def\s+(?P<name>\w+)\s*\(",
+    "py constant": r"^(?P<name>[A-Z][A-Z0-9_]+)\s*[=:]",
+}
+NO_METHOD = frozenset("if for while switch catch return new super".split())
+_FORMS = {k: re.compile(v, re.A) for k, v in FORMS.items()}
+
+_METHOD = Rule(
+    0, "function", _FORMS["ts method"], _no_end, lambda g, *_: _called(g, g["owner_exported"]), lambda g: g["owner_exported"],
+    lambda g, line: g["name"] not in NO_METHOD and ("=" not in line or "=>" in line),
+)
+_AT_MARGIN = lambda g, line: not line[:2].isspace() or len(line) < 2 or line.strip().startswith("export ")
+_SHAPE = lambda g, *_: f"{_word(_marked(g))} interface defining the shape of {g['name']}"
+_CALL = lambda g, *_: _called(g, _marked(g))
+_UNTYPED = (
+    Rule(0, "class", _FORMS["ts class"], _brace_end, lambda g, *_: f"{_word(_marked(g))} class {g['name']}", _marked, member=_METHOD),
+    Rule(1, "function", _FORMS["ts function"], _brace_end, _CALL, _marked, _AT_MARGIN),
+    Rule(1, "function", _FORMS["ts arrow"], lambda x, i: _brace_end(x, i) or _statement_end(x, i), _CALL, _marked, _AT_MARGIN),
+    Rule(4, "constant", _FORMS["ts constant"], _no_end, lambda g, *_: f"Exported constant {g['name']}", lambda g: True, lambda g, line: not any(x in line for x in ("=>", "function", "type "))),
+)
+_TYPED = (
+    Rule(2, "interface", _FORMS["ts interface"], _brace_end, _SHAPE, _marked),
+    Rule(2, "interface", _FORMS["ts type"], _statement_end, _SHAPE, _marked),
+    Rule(3, "enum", _FORMS["ts enum"], _brace_end, lambda g, *_: f"{_word(_marked(g))} enum {g['name']}", _marked),
+)
+_PY_METHOD = Rule(
+    0, "function", _FORMS["py def"], _indent_end, lambda g, x, i: _docstring(x, i + 1) or f"Method {g['name']}",
+    lambda g: not g["name"].startswith("_") or g["name"].startswith("__"), lambda g, line: bool(g["deep"]),
+)
+_PUBLIC = lambda g: not g["name"].startswith("_")
+_PYTHON = (
+    Rule(0, "class", _FORMS["py class"], _indent_end, lambda g, x, i: _docstring(x, i + 1) or f"Class {g['name']}" + (f" extending {g['bases'].strip()}" if (g["bases"] or "").strip() else ""), _PUBLIC, member=_PY_METHOD),
+    Rule(1, "function", _FORMS["py def"], _indent_end, lambda g, x, i: _docstring(x, i + 1) or f"Function {g['name']}", _PUBLIC, lambda g, line: not g["deep"]),
+    Rule(2, "constant", _FORMS["py constant"], _no_end, lambda g, *_: f"Constant {g['name']}", lambda g: True),
+)
+TYPESCRIPT, JAVASCRIPT, PYTHON = Grammar(_UNTYPED + _TYPED, _ts_module), Grammar(_UNTYPED, _ts_module), Grammar(_PYTHON, _py_module)
 
 
 def parse_markdown(path: str, content: str) -> list[Concept]:
@@ -200,9 +237,9 @@ def parse_markdown(path: str, content: str) -> list[Concept]:
 
 #: Parser and language by extension; may be extended.
 PARSERS: dict[str, tuple[Callable[[str, str], list[Concept]], str]] = {
-    **{e: (parse_typescript, "typescript") for e in ("ts", "tsx")},
-    **{e: (lambda p, c: parse_typescript(p, c, typed=False), "javascript") for e in ("js", "jsx", "mjs", "cjs")},
-    "py": (parse_python, "python"),
+    **{e: (lambda p, c: parse(p, c, TYPESCRIPT), "typescript") for e in ("ts", "tsx")},
+    **{e: (lambda p, c: parse(p, c, JAVASCRIPT), "javascript") for e in ("js", "jsx", "mjs", "cjs")},
+    "py": (lambda p, c: parse(p, c, PYTHON), "python"),
     **{e: (parse_markdown, "markdown") for e in ("md", "txt")},
 }
 _SCHEMA = "id string, name string, kind string, filePath string, line long, endLine long, description string, parentId string, exported boolean, language string, problem string"

@@ -21,14 +21,9 @@ _typed = lambda table, flags=_AI: [(re.compile(rx, flags), v, c) for rx, v, c in
 _TYPES, _STATUSES, _INTENTS = _typed(p.ITEM_TYPES), _typed(p.STATUSES), _typed(p.INTENTS)
 _PRIORITIES = _typed(p.PRIORITIES) + _typed(p.PRIORITY_CODES, _A)
 _LABELS, _PERSONS, _DATES = ([re.compile(rx, _AI) for rx in rxs] for rxs in (p.LABELS, p.PERSONS, p.DATES))
-_LIST = re.compile(r"^(?:[-*•]|\d+[.)])\s+(.+)$")
-_LIST_LINE = re.compile(r"^(?:[-*•]|\d+[.)])\s+")
-_TYPED_TITLE = re.compile(rf"^({p.TYPE_NAMES})[:\-]\s*(.+)$", re.I)
-_BRACKETED = re.compile(rf"^\[({p.TYPE_NAMES})\]\s*(.+)$", re.I)
-_STORY = re.compile(r"^as\s+a\s+\w+(?:\s+\w+)*,?\s+I\s+want\s+.+$", _AI)
-_SO_THAT = re.compile(r"as\s+a\s+\w+(?:\s+\w+)*,?\s+I\s+want\s+(.+?)(?:,?\s+so\s+that\s+(.+))?$", _AI)
-_META = re.compile(r"^(?:create|add|here\s+are|the\s+following|these\s+are|list\s+of)\b.*[:]\s*$", _AI)
-_META_PREFIX = re.compile(r"^(?:create|add|make|build|implement|write|develop|we\s+need)\s+(?:a\s+(?:new\s+)?)?", _AI)
+_LIST, _LIST_LINE = re.compile(p.LIST_ITEM), re.compile(p.LIST_MARK)
+_TYPED_TITLE, _BRACKETED = re.compile(p.TYPED_TITLE, re.I), re.compile(p.BRACKETED_TITLE, re.I)
+_STORY, _SO_THAT, _META, _META_PREFIX = (re.compile(rx, _AI) for rx in (p.USER_STORY, p.STORY_GOAL, p.META_LINE, p.META_PREFIX))
 
 Entity = tuple[str, str, str, int, int, float]  # kind, raw, value, start, end, confidence
 Title = tuple[str, str | None, int, int]  # title, type, indent, line

@@ -101,3 +101,13 @@ COMMON_WORDS = frozenset(
 TYPE_NAMES = "initiative|epic|story|task|subtask|bug|feature|milestone"
 CHILD_TYPE = {"initiative": "epic", "epic": "story", "story": "task", "task": "subtask", "subtask": "subtask", "bug": "task", "feature": "story", "milestone": "epic"}
 MIN_ENTITY_CONFIDENCE = 0.3
+
+#: Lines of lists, titles with a type before them, user stories, and lines that only introduce what follows (fixed values).
+LIST_ITEM = r"^(?:[-*•]|\d+[.)])\s+(.+)$"
+LIST_MARK = r"^(?:[-*•]|\d+[.)])\s+"
+TYPED_TITLE = rf"^({TYPE_NAMES})[:\-]\s*(.+)$"
+BRACKETED_TITLE = rf"^\[({TYPE_NAMES})\]\s*(.+)$"
+USER_STORY = r"^as\s+a\s+\w+(?:\s+\w+)*,?\s+I\s+want\s+.+$"
+STORY_GOAL = r"as\s+a\s+\w+(?:\s+\w+)*,?\s+I\s+want\s+(.+?)(?:,?\s+so\s+that\s+(.+))?$"
+META_LINE = r"^(?:create|add|here\s+are|the\s+following|these\s+are|list\s+of)\b.*[:]\s*$"
+META_PREFIX = r"^(?:create|add|make|build|implement|write|develop|we\s+need)\s+(?:a\s+(?:new\s+)?)?"

@@ -88,10 +88,9 @@ def _trim(s: str) -> str:
     return f"regexp_replace({s}, '^[{SP}]+|[{SP}]+$', '', 'g')"
 
 
-_flip = lambda t: {x: c for c, xs in t.items() for x in xs}
 _list = lambda xs: "[" + ", ".join(_quote(x) for x in xs) + "]"
-_RES = f"""{ITEMS_SQL}, res AS (SELECT *, {_map(_trim("lower(type)"), d.ITEM_TYPES, "task")} AS item_type, {_map(_trim("lower(coalesce(status, ''))"), _flip(d.ITEM_STATUS), "unknown")} AS status_category,
-  coalesce(status, '') AS status_label, {_map(_trim("lower(kind)"), d.PAGE_KINDS, "page")} AS page_kind, {_map(_trim("lower(coalesce(status, ''))"), _flip(d.PAGE_STATUS), "unknown")} AS page_status FROM items)"""
+_RES = f"""{ITEMS_SQL}, res AS (SELECT *, {_map(_trim("lower(type)"), d.ITEM_TYPES, "task")} AS item_type, {_map(_trim("lower(coalesce(status, ''))"), d.ITEM_STATUS, "unknown")} AS status_category,
+  coalesce(status, '') AS status_label, {_map(_trim("lower(kind)"), d.PAGE_KINDS, "page")} AS page_kind, {_map(_trim("lower(coalesce(status, ''))"), d.PAGE_STATUS, "unknown")} AS page_status FROM items)"""
 _ITERMS = f"""iterms AS (SELECT {_trim("lower(title)")} AS key, item_row, {_trim("title")} AS name,
   CASE WHEN coalesce(description, '') = '' THEN upper(left(item_type, 1)) || substr(item_type, 2) || ' from JSON import' || CASE WHEN coalesce(projectId, '') <> '' THEN ' in project "' || projectId || '"' ELSE '' END
     || CASE WHEN status_label <> '' THEN ' (status: ' || status_label || ')' ELSE '' END || '.' WHEN length(description) > 500 THEN left(description, 500) || '...' ELSE description END AS definition,

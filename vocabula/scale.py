@@ -6,9 +6,11 @@ makes it safe to broadcast them. Everything else goes through a shuffle.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabula.session import checkpoint_folder
@@ -23,6 +25,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of an iterative plan, written in the shared checkpoint folder. They cut lineage as checkpoint() does, but their sizes are
+    known: estimates of checkpoints are those of the plans behind them, and joined with each other round by round they grow beyond all
+    bounds. drop() removes what a round has replaced, and what is left goes with the application."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        atexit.register(self._remove, self.folder)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, keep: Sequence[DataFrame]) -> None:
+        """Removes all tables but those of the DataFrames to keep, as cut() returned them."""
+        kept = {id(df) for df in keep}
+        for key, (_, path) in self.paths.items():
+            if key not in kept:
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        if sc._jsc is not None:  # the session is still there
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def total(df: DataFrame, weight: str) -> int:
     return df.agg(F.sum(weight)).first()[0] or 0
 
@@ -47,6 +80,21 @@ def join_on_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weig
     return out if condition is None else out.filter(condition)
 
 
+def hot_keys(weights: DataFrame, keys: Sequence[str], weight: str, n_rows: int, least: int = 1000) -> DataFrame | None:
+    """The keys of at least `least` rows that is_hot() holds to be hot, at most HOT_SHARE of them; None if there are none."""
+    hot = weights.filter(is_hot(weight, n_rows) & (F.col(weight) >= least)).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def join_beside(rows: DataFrame, side: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Inner join with `side` (one row per key), where the keys in `hot` (see hot_keys) are met by broadcast and all others by shuffle."""
+    keys = list(keys)
+    if hot is None:
+        return rows.join(side, keys)
+    near = rows.join(F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return near.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(side, keys))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """Adds the place (from 1) in a total order without sorting in one task: range partitions are numbered on their own and
     shifted by the sizes of those before them. The order should have no ties, else tied rows are numbered in any order."""

@@ -24,6 +24,7 @@ def build(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes when no plan refers to it any more
     )
     for k, v in conf.items():
         b = b.config(k, v)
