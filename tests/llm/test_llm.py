@@ -32,11 +32,17 @@ def test_duplicates(spark):
     assert canonical.duplicates(recs.limit(0)).count() == 0 and canonical.distinct_records(recs.limit(0)).count() == 0
 
 
-def test_collisions_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(canonical, "_keyed", lambda r: r.select("src", "id", F.lit(b"same").alias("key"), F.xxhash64("text").alias("proof"), "text"))
-    recs = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b"), ("t", 3, "a")], "src string, id long, text string")
-    assert [(r["keep_id"], r["dup_id"]) for r in canonical.duplicates(recs).collect()] == [(1, 3)]
-    assert {r["keep_id"]: r["copies"] for r in canonical.distinct_records(recs).collect()} == {1: 2, 2: 1}
+def test_collisions_are_told_apart(spark):
+    one_key = lambda text: (b"same", canonical.hashed(text)[1])
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "id long, name string")
+    recs = canonical.records(rows, "t", "id", "name")
+    assert [(r["keep_id"], r["dup_id"]) for r in canonical.duplicates(recs, one_key).collect()] == [(1, 3)]
+    assert {r["keep_id"]: r["copies"] for r in canonical.distinct_records(recs, one_key).collect()} == {1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("a, b", [("\u212b", "\u00c5"), ("\uf900", "\u8c48"), ("e\u0301", "\u00c9"), ("\u1112\u1161\u11ab", "\ud55c"), ("A-b_c", "abc"), ("\u0130", "i\u0307")])
+def test_composed_forms_agree(a, b):
+    assert canonical.canonical(a) == canonical.canonical(b) != ""
 
 
 # 2 co-occurrence ----------------------------------------------------------------------------------------------------
