@@ -111,6 +111,24 @@ flat AS (SELECT src, node_id, depth, unnest(path) AS ancestor_id, generate_subsc
 below AS (SELECT src, ancestor_id AS node_id, count(*) - 1 AS descendants FROM flat GROUP BY src, ancestor_id)
 """
 
+#: Every object and list of a payload at any depth, JSON carried as text included.
+_P4_SQL = """
+WITH RECURSIVE node AS (
+  SELECT record_id, ('[' || payload || ']')::JSON AS j FROM raw_records WHERE json_valid(payload)
+  UNION ALL
+  SELECT record_id, CASE WHEN json_type(c) = 'VARCHAR' THEN (c->>'$')::JSON ELSE c END FROM (
+    SELECT record_id, unnest(CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1'))) ELSE json_extract(j, '$[*]') END) AS c
+    FROM node WHERE json_type(j) IN ('OBJECT', 'ARRAY'))
+  WHERE json_type(c) IN ('OBJECT', 'ARRAY') OR (json_type(c) = 'VARCHAR' AND regexp_matches(c->>'$', '^\\s*[\\[{"]') AND json_valid(c->>'$'))),
+held AS (
+  SELECT record_id, j->>'$.id' AS parent_key, 'alias' AS child, j->'$.aliases' AS v FROM node WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT record_id, j->>'$.id', 'codeLocation', j->'$.codeLocations' FROM node WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT record_id, j->>'$.number', 'changedFile', j->'$.changedFiles' FROM node WHERE json_type(j) = 'OBJECT'),
+opened AS (SELECT * REPLACE (CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') AND json_type((v->>'$')::JSON) = 'ARRAY' THEN (v->>'$')::JSON ELSE v END AS v) FROM held WHERE v IS NOT NULL),
+listed AS (SELECT record_id, parent_key, child, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE [v] END AS items FROM opened),
+flat AS (SELECT record_id, parent_key, child, k - 1 AS ord, items[k] AS item FROM (SELECT *, unnest(generate_series(1, len(items))) AS k FROM listed))
+"""
+
 _P4_TERMS = "SELECT row_id, id, unnest(generate_series(1, len({0}))) AS k, {0} AS items FROM glossary_terms WHERE {0} IS NOT NULL"
 
 QUERIES = {
@@ -128,6 +146,7 @@ QUERIES = {
 ORACLE = {
     "p3_found": _P3_SQL + "SELECT src, row_key, ref_key FROM found",
     "p3_periods": _P3_SQL + "SELECT src, period, count(*) AS orphans, count(DISTINCT ref_key) AS missing_keys FROM found GROUP BY src, period",
+    "p4_found": _P4_SQL + "SELECT DISTINCT record_id, parent_key, child, ord FROM flat WHERE item IS NOT NULL AND json_type(item) <> 'NULL'",
     "p4_term_locations": f"""SELECT row_id, id, (k - 1)::BIGINT AS ord, items[k].filePath AS filePath, items[k].symbol AS symbol,
         items[k].lineRange.start AS first_line, items[k].lineRange."end" AS last_line, items[k].relationship AS relationship, items[k].note AS note
         FROM ({_P4_TERMS.format("codeLocations")}) WHERE items[k] IS NOT NULL""",

@@ -28,7 +28,7 @@ def doc_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_terms(spark, sf_dir).filter("method = 'table-cell'").select("doc_id", "line").distinct()
+    return _doc_terms(spark, sf_dir).filter("method = 'table-cell'").select("doc_id", "term", "line")
 
 
 # sources ------------------------------------------------------------------------------------------------------------
@@ -137,6 +137,38 @@ _PAIR = "CASE WHEN " + _match(r"\bas\s+a\s+\w+.*I\s+want") + " THEN ['create', '
     r" WHEN regexp_matches(text, '(^|\n)\s*([-*•]|\d+[.)])\s+') THEN CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 1 AND NOT regexp_matches(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '^\s*[-*•\d]') THEN ['decompose', '0.6'] ELSE ['create', '0.5'] END ELSE ['unknown', '0'] END"
 )
 
+_TERM_OK = "length(term) BETWEEN 2 AND 100 AND NOT regexp_full_match(term, '[0-9]+(\\.[0-9]+)?') AND regexp_matches(term, '[a-zA-Z0-9]') AND upper(term) NOT IN ('---', '***', '___', '...', 'TODO', 'FIXME', 'NOTE', 'TBD')"
+_HEAD = r"'^#{1,6}\s+[^\r\n]+$'"
+#: All term candidates: of a line and term in any case the first of header, bold text and table cell.
+_TERMS = rf"""WITH {_LINES},
+found AS (
+  SELECT doc_id, line, 1 AS method, 0 AS o, length(regexp_extract(t, '^(#{{1,6}})[ \t]', 1)) AS level, trim(regexp_extract(t, '^#{{1,6}}\s+([^\r\n]+?)(?:\s+#+\s*)?$', 1)) AS t FROM lines WHERE regexp_matches(t, {_HEAD})
+  UNION ALL SELECT doc_id, line, 2, o, NULL, b[o] FROM (SELECT *, unnest(generate_series(1, len(b))) AS o FROM (
+    SELECT doc_id, line, list_concat(regexp_extract_all(t, '\*\*([^\r\n]+?)\*\*', 1), regexp_extract_all(t, '__([^\r\n]+?)__', 1)) AS b FROM lines WHERE NOT regexp_matches(t, {_HEAD})))
+  UNION ALL SELECT doc_id, line, 3, o, NULL, b[o] FROM (SELECT *, unnest(generate_series(1, len(b))) AS o FROM (
+    SELECT doc_id, line, string_split(regexp_replace(regexp_replace(t, '^\s*\|', ''), '\|\s*$', ''), '|') AS b FROM lines
+    WHERE regexp_matches(t, '^\s*\|[^\r\n]+\|\s*$') AND NOT regexp_matches(t, '^\s*\|[\s:]*-+[\s:]*(\|[\s:]*-+[\s:]*)*\|\s*$')))),
+cleaned AS (SELECT doc_id, line, method, o, level, trim({_INLINE.replace("(t,", "(trim(t),", 1)}) AS term FROM found),
+kept AS (SELECT * FROM cleaned WHERE {_TERM_OK} QUALIFY row_number() OVER (PARTITION BY doc_id, line, lower(term) ORDER BY method, o) = 1)"""
+_FILES = f"""WITH {CONCEPTS_SQL}, f AS (SELECT path, NOT list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build', '.git', '.next', '.nuxt', '__pycache__', '.venv', 'venv', '.env', 'coverage', '.cache',
+  '.turbo', '.output', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml']) AND NOT regexp_matches(path, '([.]min[.]js|[.]min[.]css|[.]map|[.]lock)(/|$)') AS keep FROM (SELECT DISTINCT filePath AS path FROM concepts))"""
+_TYPED = "(initiative|epic|story|task|subtask|bug|feature|milestone)"
+#: Lines that are list items, typed titles, user stories, the only line, or stand before a list.
+_TITLES = rf"""WITH n AS (SELECT number AS note_id, string_split(coalesce(body, ''), chr(10)) AS l FROM pull_requests),
+x AS (SELECT note_id, i - 1 AS line, len(l) AS n, l[i] AS raw, trim(l[i], ' ' || chr(9) || chr(13)) AS bare, trim(coalesce(l[i - 1], ''), ' ' || chr(9) || chr(13)) AS before, trim(coalesce(l[i + 1], ''), ' ' || chr(9) || chr(13)) AS after
+  FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM n)),
+y AS (SELECT *, (length(raw) - length(ltrim(raw, ' ' || chr(9) || chr(13)))) // 2 AS indent, regexp_matches(bare, '^([-*•]|\d+[.)])\s+.+$') AS listed, regexp_matches(bare, '(?i)^{_TYPED}[:-]\s*.+$') AS typed,
+  regexp_matches(bare, '(?i)^as\s+a\s+\w+(\s+\w+)*,?\s+I\s+want\s+.+$') AS story FROM x WHERE bare <> ''),
+z AS (SELECT *, CASE WHEN listed THEN trim(regexp_extract(bare, '^(?:[-*•]|\d+[.)])\s+(.+)$', 1)) ELSE bare END AS t FROM y
+  WHERE listed OR typed OR story OR n = 1 OR ((line = 0 OR (NOT regexp_matches(before, '^([-*•]|\d+[.)])\s+') AND regexp_matches(after, '^([-*•]|\d+[.)])\s+')))
+    AND NOT regexp_matches(bare, '(?i)^(create|add|here\s+are|the\s+following|these\s+are|list\s+of)\b.*[:]\s*$'))),
+w AS (SELECT *, regexp_extract(t, '(?i)^{_TYPED}[:-]\s*(.+)$', ['k', 'r']) AS a, regexp_extract(t, '(?i)^\[{_TYPED}\]\s*(.+)$', ['k', 'r']) AS b FROM z)
+SELECT note_id, CASE WHEN story AND NOT listed THEN bare WHEN a.k <> '' THEN trim(a.r) WHEN b.k <> '' AND (listed OR NOT typed) THEN trim(b.r) ELSE t END AS title,
+  CASE WHEN story AND NOT listed THEN 'story' WHEN a.k <> '' THEN lower(a.k) WHEN b.k <> '' THEN lower(b.k) END AS type, CASE WHEN n = 1 AND NOT listed AND NOT typed AND NOT story THEN 0 ELSE indent END AS indent, line FROM w"""
+_TOP = f"""WITH {TERMS_SQL}, lab AS (SELECT DISTINCT id, lower(unnest(list_concat([name], aliases))) AS label FROM terms), pr AS (SELECT file_row AS key, lower('change ' || array_to_string(termNames, ', ') || ' in ' || filePath) AS text FROM affected_files WHERE query IS NOT NULL),
+hit AS (SELECT DISTINCT p.key, l.id AS term_id FROM pr p JOIN lab l ON contains(p.text, l.label) AND regexp_replace(l.label, '[{views.SPACE_SQL}]', '', 'g') <> '' WHERE regexp_matches(p.text, '(^|[^a-z0-9_])' || regexp_escape(l.label) || '($|[^a-z0-9_])')),
+top AS (SELECT key, term_id, row_number() OVER (PARTITION BY key ORDER BY coalesce(t.coupling.score, 0) DESC, term_id) AS rank FROM hit JOIN terms t ON t.id = hit.term_id QUALIFY rank <= 10)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,11 +181,21 @@ ORACLE = {
         FROM (SELECT *, trim(regexp_extract(t, '^#{{1,6}}\\s+([^\\r\\n]+?)(?:\\s+#+\\s*)?$', 1)) AS x FROM lines WHERE regexp_matches(t, '^#{{1,6}}\\s+[^\\r\\n]+$')))
         SELECT doc_id, term, line, level FROM h WHERE length(term) BETWEEN 2 AND 100 AND NOT regexp_full_match(term, '\\d+(\\.\\d+)?') AND regexp_matches(term, '[a-zA-Z0-9]')
         AND upper(term) NOT IN ({", ".join(map(_q, sorted(docs.ARTIFACTS)))})""",
+    "doc_terms": _TERMS + " SELECT doc_id, term, CASE method WHEN 1 THEN 'section' WHEN 2 THEN 'term' ELSE 'definition' END AS kind, line, level FROM kept",
+    "doc_cells": _TERMS + " SELECT doc_id, term, line FROM kept WHERE method = 3",
+    "scan_files": _FILES + """ SELECT path FROM f WHERE keep AND regexp_matches(path, '(?i)[^/][.](ts|tsx|js|jsx|py|md)$')""",
+    "scan_directories": _FILES + f""", entries AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS entry, array_to_string(p[1:i - 1], '/') AS id FROM (SELECT p, unnest(generate_series(2, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM f WHERE keep))),
+        dirs AS (SELECT id, regexp_extract(id, '([^/]+)$', 1) AS name, nullif(regexp_extract(id, '^(.*)/[^/]+$', 1), '') AS parent_id, count(*) AS children FROM entries GROUP BY id)
+        SELECT *, CASE lower(name) {" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in scan.DIRECTORIES.items())} ELSE 'Directory containing ' || children || CASE WHEN children = 1 THEN ' item' ELSE ' items' END END AS description FROM dirs""",
+    "nl_titles": _TITLES,
     "scan_names": f"""WITH {CONCEPTS_SQL} SELECT DISTINCT filePath, name FROM concepts WHERE (language = 'typescript' AND kind IN ('class', 'interface', 'enum') AND (filePath LIKE '%.ts' OR filePath LIKE '%.tsx'))
         OR (language IN ('javascript', 'python') AND kind = 'class')""",
     "scan_stats": f"""WITH {CONCEPTS_SQL}, k AS (SELECT unnest([{", ".join(map(_q, d.CONCEPT_KINDS))}]) AS key)
         SELECT 'kind' AS measure, k.key, count(c.id) AS n FROM k LEFT JOIN concepts c ON c.kind = k.key GROUP BY k.key UNION ALL SELECT 'language', language, count(*) FROM concepts GROUP BY language""",
     "nl_intent": f"WITH {ITEMS_SQL}, n AS (SELECT id AS note_id, concat_ws(chr(10), title, description) AS text FROM items), m AS (SELECT note_id, {_PAIR} AS v FROM n) SELECT note_id, v[1] AS intent, v[2]::DOUBLE AS sure FROM m",
+    "detect_topk": _TOP + " SELECT key, term_id, rank FROM top",
+    "detect_context": _TOP + """ SELECT key, rank, t.name || coalesce(' (' || t.codeLocations[1].filePath || coalesce('#' || t.codeLocations[1].symbol, '') || ', ' || t.codeLocations[1].relationship || ')', '') || ': ' || left(t.definition, 200) AS line
+        FROM top JOIN terms t ON t.id = top.term_id""",
     "detect_labels": f"""WITH {TERMS_SQL}, lab AS (SELECT DISTINCT id, lower(unnest(list_concat([name], aliases))) AS label FROM terms), pr AS (SELECT file_row AS key, lower('change ' || array_to_string(termNames, ', ') || ' in ' || filePath) AS text FROM affected_files WHERE query IS NOT NULL)
         SELECT DISTINCT p.key, l.id AS term_id FROM pr p JOIN lab l ON contains(p.text, l.label) AND regexp_replace(l.label, '[{views.SPACE_SQL}]', '', 'g') <> ''
         WHERE regexp_matches(p.text, '(^|[^a-z0-9_])' || regexp_escape(l.label) || '($|[^a-z0-9_])')""",
