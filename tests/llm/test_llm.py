@@ -106,7 +106,7 @@ def test_similarity_join_equals_all_pairs(spark):
 
     def toks(s):
         out, n = set(), Counter()
-        for t in [*s, *[a + b for a, b in zip("^" + s, s + "$")]]:
+        for t in [*s, *[a + b for a, b in zip("^" + s, s + "$")], *[a + b for a, b in zip(s, s[2:])]]:
             n[t] += 1
             out.add((t, n[t]))
         return out

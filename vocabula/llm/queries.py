@@ -143,8 +143,45 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_spam.spam(table(spark, sf_dir, "documents")).distinct()
 
 
+#: Cleaning, numbered tokens and Jaccard of every distinct value with every spelling of its field.
+_P6_SQL = r"""
+WITH cell AS (
+  SELECT item_row, 'status' AS field, status AS raw FROM work_items UNION ALL SELECT item_row, 'type', type FROM work_items UNION ALL SELECT item_row, 'kind', kind FROM work_items),
+kept AS (SELECT * FROM cell c WHERE regexp_replace(coalesce(raw, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', '', 'g') <> ''
+  AND NOT EXISTS (SELECT 1 FROM canonical_values v WHERE v.field = c.field AND v.canonical = c.raw)),
+s0 AS (SELECT field, raw, trim(regexp_replace(raw, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS t FROM (SELECT DISTINCT field, raw FROM kept)),
+s1 AS (SELECT field, raw, regexp_replace(t, '([\p{L}\p{N}])[^\p{L}\p{N}]{0,4}\([^()]*\)\s*$', '\1') AS t FROM s0),
+s2 AS (SELECT field, raw, regexp_replace(regexp_replace(t, '(?i)\s*,\s*says\s.*$', ''), '(?i)\s+(as\s+of|since)\s+.*$', '') AS t FROM s1),
+s3 AS (SELECT field, raw, regexp_replace(regexp_replace(t, '\s*/\s*[A-Za-z]{2,4}-[0-9]+\s*$', ''), '([\p{L}\p{N}])[^\p{L}\p{N}]+[0-9]+[^\p{L}\p{N}]*$', '\1') AS t FROM s2),
+s4 AS (SELECT field, raw, regexp_replace(t, '^[^\p{L}\p{N}]*[0-9]+[^\p{L}\p{N}]+(.*\p{L})', '\1') AS t FROM s3),
+s5 AS (SELECT field, raw, regexp_replace(regexp_replace(t, '(?i)^[^\p{L}\p{N}]*(status|type|kind)\s*:\s*', ''), '(?i)^[^\p{L}\p{N}]*now\s+', '') AS t FROM s4),
+val AS (SELECT field, raw, regexp_replace(lower(regexp_replace(t, '^\s*[A-Z]{2,4}:\s*', '')), '[^\p{L}\p{N}]+', '', 'g') AS value FROM s5),
+form AS (SELECT DISTINCT value_id, field, regexp_replace(lower(w), '[^\p{L}\p{N}]+', '', 'g') AS form FROM (SELECT value_id, field, unnest(list_prepend(canonical, coalesce(alternates, []))) AS w FROM canonical_values)),
+spelt AS (SELECT DISTINCT value_id, field, form, spelling FROM (SELECT *, unnest([form, left(form, 1) || regexp_replace(form[2:], '[aeiou]', '', 'g'), regexp_replace(form, '[aeiou]', '', 'g')]) AS spelling FROM form) WHERE form <> '' AND (spelling = form OR length(spelling) > 1)),
+word AS (SELECT DISTINCT value AS w FROM val WHERE value <> '' UNION SELECT spelling FROM spelt),
+tok AS (SELECT w, unnest(list_concat(string_split(w, ''), list_transform(range(0, length(w) + 1), lambda i: ('<' || w || '>')[i + 1 : i + 2]), list_transform(range(1, length(w) - 1), lambda i: w[i] || w[i + 2]))) AS t FROM word),
+bag AS (SELECT w, t, count(*) AS n FROM tok GROUP BY w, t),
+size AS (SELECT w, sum(n) AS n FROM bag GROUP BY w),
+pair AS (SELECT v.field, v.value, s.value_id, s.form, s.spelling FROM (SELECT DISTINCT field, value FROM val WHERE value <> '') v JOIN spelt s USING (field)),
+shared AS (SELECT a.w AS value, b.w AS spelling, sum(least(a.n, b.n)) AS n FROM bag a JOIN bag b USING (t) WHERE b.w IN (SELECT spelling FROM spelt) GROUP BY ALL),
+scored AS (SELECT p.*, h.n / (x.n + y.n - h.n) AS jaccard FROM pair p JOIN shared h USING (value, spelling) JOIN size x ON x.w = p.value JOIN size y ON y.w = p.spelling),
+best AS (SELECT field, value, value_id, form, jaccard FROM scored WHERE jaccard >= 0.4 QUALIFY row_number() OVER (PARTITION BY field, value ORDER BY jaccard DESC, value_id, form) = 1)
+"""
+
+_P9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS k FROM d)),
+ig AS (SELECT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS k FROM i))
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_lift": p2_lift, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_values": p6_values, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE = {
+    "p6_found": _P6_SQL + "SELECT DISTINCT k.item_row, k.field, coalesce(b.value_id, -1)::BIGINT AS value_id FROM kept k JOIN val v USING (field, raw) LEFT JOIN best b USING (field, value)",
+    "p6_values": _P6_SQL
+    + """SELECT k.field, k.raw, count(*) AS rows, coalesce(any_value(b.value_id), -1)::BIGINT AS value_id, any_value(b.form) AS form, any_value(b.jaccard) AS jaccard
+        FROM kept k JOIN val v USING (field, raw) LEFT JOIN best b USING (field, value) GROUP BY k.field, k.raw""",
+    "p9_found": _P9_SQL + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     "p1_found": _P1_SQL + "SELECT f.src, g.keep_id, f.id AS dup_id FROM forms f JOIN groups g USING (src, name, al) WHERE f.id <> g.keep_id",
     "p1_copies": _P1_SQL + "SELECT src, keep_id, copies FROM groups",
     "p2_found": _P2_SQL + "SELECT src, term_a, term_b FROM scored WHERE n_ab >= 8 AND n_ab * n >= 4 * n_a * n_b",

@@ -1,26 +1,28 @@
-"""Freely typed values mapped to a reference list: prefix-filter set-similarity join, exact Jaccard, exact check, best kept.
-
-Values are aggregated to distinct ones, freed of comments and decoration and reduced to letters and digits. Their tokens are
-numbered characters and character pairs, ordered by global rarity. Only the rarest tokens of either side, as many as a Jaccard of
-`least` demands, are joined; length and positional filters thin the candidates and Jaccard is verified on whole token sets. Among a
-value's candidates the one counts that an exact check holds to be a spelling of it: few edits (with swaps), a cut end, or
-dropped vowels. The rest is reported as unmatched.
+"""Freely typed values mapped to a reference list: prefix-filter set-similarity join, Jaccard verified exactly, best kept.
+
+Values are aggregated to distinct ones, freed of comments and decoration and reduced to letters and digits. A value is the set of its
+characters and of its ordered pairs of characters next to each other or one apart, numbered where they repeat: a slip, a swap or a cut end
+changes few of them. Tokens are ordered by global rarity; only the rarest of either side, as many as a Jaccard of `least` demands, are
+joined, length and positional filters thin the candidates, and Jaccard is verified on whole token sets. It alone decides and ranks: the
+entry with the most similar spelling is meant, if it reaches `least`. Entries are also spelt without vowels, as people shorten them. The
+rest is reported as unmatched.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vocabula.scale import cut, join_on_groups, total
 
-LEAST = 0.25
+LEAST = 0.4
 UNMATCHED = -1
+#: Prefix tokens of the reference list up to which it is broadcast; both sides are shuffled beyond it.
+NEAR = 200_000
 _BLANK = r"[\s   -​  　﻿]+"
 _NOT_WORD = r"[^\p{L}\p{N}]"
-#: Comments behind and before a value, in the order they are taken off (fixed values).
+#: Comments behind and before a value, in the order they are taken off (fixed values): brackets, who said it, since when, a ticket, a number;
+#: a number, the name of the field, "now", initials.
 _BEHIND = [
     rf"(?<=[\p{{L}}\p{{N}}]){_NOT_WORD}{{0,4}}\([^()]*\)\s*$",
     r"(?i)\s*,\s*says\s.*$",
@@ -53,66 +55,28 @@ def is_blank(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Characters and pairs of neighbours (with both ends marked), numbered where they repeat: a set."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+    """Characters, pairs of neighbours (with both ends marked) and pairs that are one apart, numbered where they repeat: a set of three
+    tokens for each character."""
+
+    def cut_out(of: Column, n: int, width: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text) + n), lambda i: F.substring(of, i, F.lit(2)) if width == "pair" else F.substring(of, i, F.lit(1)))
+
     framed = F.concat(F.lit("\u0002"), text, F.lit("\u0003"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(framed, i, F.lit(2)))
-
-    def numbered(a: Column) -> Column:
-        return F.transform(a, lambda x, i: F.concat(x, F.size(F.filter(F.slice(a, 1, i + 1), lambda y: y == x)).cast("string")))
-
-    return F.when(F.length(text) > 0, F.concat(numbered(chars), numbered(pairs))).otherwise(F.array().cast("array<string>"))
-
-
-def _edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours; most + 1 for more than `most`."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
-
-
-def _bare(s: str) -> str:
-    """Without vowels but for the first character."""
-    return s[:1] + "".join(c for c in s[1:] if c not in "aeiou")
-
-
-def spelling_cost(value: str, form: str) -> float | None:
-    """0 for the same, below 0.5 for a spelling of it, None for something else. Longer forms may differ in more places."""
-    n = len(form)
-    most = 0 if n <= 2 else 1 if n <= 5 else 2 if n <= 8 else 3
-    edits = _edits(value, form, most)
-    if edits <= most:
-        return edits / n
-    bare = _bare(form)
-    if len(value) >= 2 and value in (bare, "".join(c for c in form if c not in "aeiou")) and value != form:
-        return 0.4
-    if len(value) >= 3 and 2 * len(value) >= n and form.startswith(value):
-        return 0.45
-    return None
-
-
-@F.pandas_udf(T.DoubleType())
-def _cost(value: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([spelling_cost(v, f) for v, f in zip(value, form)], dtype="float64")
+    apart = F.when(F.length(text) > 2, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.substring(text, i, F.lit(1)), F.substring(text, i + 2, F.lit(1)))))
+    every = F.concat(cut_out(text, 0, "one"), cut_out(framed, 1, "pair"), F.coalesce(apart, F.array().cast("array<string>")))
+    numbered = F.transform(every, lambda x, i: F.concat(x, F.size(F.filter(F.slice(every, 1, i + 1), lambda y: y == x)).cast("string")))
+    return F.when(F.length(text) > 0, numbered).otherwise(F.array().cast("array<string>"))
 
 
 def forms(reference: DataFrame, value_id: str = "value_id", field: str = "field", canonical: str = "canonical", alternates: str = "alternates") -> DataFrame:
-    """(value_id, field, form): each entry's spellings, compact."""
+    """(value_id, field, form, spelling): each entry's names, compact, and how they may be spelt: whole, and without vowels, with the
+    first character or without it."""
     every = F.concat(F.array(canonical), F.coalesce(F.col(alternates), F.array().cast("array<string>")))
     out = reference.select(F.col(value_id).alias("value_id"), F.col(field).alias("field"), F.explode(every).alias("written"))
-    return out.select("value_id", "field", compact(F.col("written")).alias("form")).filter("form <> ''").distinct()
+    out = out.select("value_id", "field", compact(F.col("written")).alias("form")).filter("form <> ''")
+    bare = lambda c: F.regexp_replace(c, "[aeiou]", "")
+    spelt = F.array("form", F.concat(F.left("form", F.lit(1)), bare(F.substring("form", 2, 1_000_000))), bare(F.col("form")))
+    return out.withColumn("spelling", F.explode(F.array_distinct(spelt))).filter((F.col("spelling") == F.col("form")) | (F.length("spelling") > 1)).distinct()
 
 
 def _ordered(strings: DataFrame, key: str, rarity: DataFrame) -> DataFrame:
@@ -126,35 +90,40 @@ def _ordered(strings: DataFrame, key: str, rarity: DataFrame) -> DataFrame:
     )
 
 
-def similar(values: DataFrame, reference: DataFrame, least: float = LEAST) -> DataFrame:
+def similar(values: DataFrame, reference: DataFrame, least: float = LEAST, near: int = NEAR) -> DataFrame:
     """(field, value, form, jaccard): all pairs of distinct values and forms of a field with a Jaccard of at least `least`."""
     longest = reference.agg(F.max(F.length("form"))).first()[0] or 0
-    # 2 n + 1 tokens for n characters: longer values cannot reach the similarity with any form
-    v = values.filter((F.length("value") > 0) & (F.length("value") <= F.lit(int((2 * longest + 1) / least)))).withColumn("toks", tokens(F.col("value")))
+    # three tokens for each character: longer values cannot reach the similarity with any form
+    v = values.filter((F.length("value") > 0) & (F.length("value") <= F.lit(int(longest / least + 1e-9)))).withColumn("toks", tokens(F.col("value")))
     r = reference.select("field", "form").distinct().withColumn("toks", tokens(F.col("form")))
     both = v.select("field", "toks").unionByName(r.select("field", "toks"))
     rarity = both.select("field", F.explode("toks").alias("tok")).groupBy("field", "tok").agg(F.count(F.lit(1)).alias("seen"))
-    left, right = cut(_ordered(v, "value", rarity)), _ordered(r, "form", rarity)
+    left, right = cut(_ordered(v, "value", rarity)), cut(_ordered(r, "form", rarity))
 
-    def prefix(d: DataFrame, key: str, at: str, n: str, toks: str) -> DataFrame:
+    def prefix(d: DataFrame, key: str, at: str, n: str) -> DataFrame:
         size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-        p = d.select("field", key, F.col("n").alias(n), F.col("toks").alias(toks), F.posexplode(F.slice("toks", F.lit(1), size)).alias(at, "tok"))
-        return p
+        return d.select("field", key, F.col("n").alias(n), F.posexplode(F.slice("toks", F.lit(1), size)).alias(at, "tok"))
 
-    pairs = prefix(left, "value", "i", "nv", "tv").join(prefix(right, "form", "j", "nf", "tf"), ["field", "tok"])
+    heads = prefix(right, "form", "j", "nf")
+    small = total(right.select(F.size("toks").alias("n")), "n") <= near
+    pairs = prefix(left, "value", "i", "nv").join(F.broadcast(heads) if small else heads, ["field", "tok"])
     need = F.ceil((F.col("nv") + F.col("nf")) * least / (1 + least) - 1e-9)
     pairs = pairs.filter((F.col("nf") >= F.col("nv") * least - 1e-9) & (F.col("nv") >= F.col("nf") * least - 1e-9))
     # a pair's first common token is the one with the smallest places; behind it no more can be shared than is left on either side
-    first = pairs.filter(F.least(F.col("nv") - F.col("i"), F.col("nf") - F.col("j")) >= need).dropDuplicates(["field", "value", "form"])
+    first = pairs.filter(F.least(F.col("nv") - F.col("i"), F.col("nf") - F.col("j")) >= need).select("field", "value", "form").distinct()
+    sets = right.select("field", "form", F.col("toks").alias("tf"))
+    full = first.join(left.select("field", "value", F.col("toks").alias("tv")), ["field", "value"]).join(F.broadcast(sets) if small else sets, ["field", "form"])
     shared = F.size(F.array_intersect("tv", "tf"))
-    return first.withColumn("jaccard", shared / (F.col("nv") + F.col("nf") - shared)).filter(F.col("jaccard") >= least).select("field", "value", "form", "jaccard")
+    return full.withColumn("jaccard", shared / (F.size("tv") + F.size("tf") - shared)).filter(F.col("jaccard") >= least).select("field", "value", "form", "jaccard")
 
 
 def mapped(values: DataFrame, reference: DataFrame, least: float = LEAST) -> DataFrame:
-    """(field, value, value_id, form, jaccard): the best entry of each distinct cleaned value that has one. Ties: fewer edits, higher
-    Jaccard, smaller value_id."""
-    pairs = similar(values, reference, least).withColumn("cost", _cost("value", "form")).filter("cost IS NOT NULL AND NOT isnan(cost)")
-    best = pairs.join(reference, ["field", "form"]).groupBy("field", "value").agg(F.min(F.struct("cost", (-F.col("jaccard")).alias("less"), "value_id", "form")).alias("b"))
+    """(field, value, value_id, form, jaccard): the entry whose spelling is most similar to each distinct cleaned value, if one is similar
+    enough. Ties: smaller value_id, then form."""
+    spellings = reference.select("field", F.col("spelling").alias("form")).distinct()
+    owners = reference.select("field", "spelling", "value_id", "form")
+    pairs = similar(values, spellings, least).withColumnRenamed("form", "spelling").join(owners, ["field", "spelling"])
+    best = pairs.groupBy("field", "value").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "value_id", "form")).alias("b"))
     return best.select("field", "value", "b.value_id", "b.form", (-F.col("b.less")).alias("jaccard"))
 
 
