@@ -266,6 +266,10 @@ SPAM = {
     4: "Keywords: coupon, price, deal, licence\nTags: cheap, download, coupon, price\nBrand: plan, deal, store, price\n" * 3,
     5: "plan matrix | billing | review gate | plan matrix | billing | review gate | plan matrix | billing | plan matrix",
     6: PROSE + "\n\n" + "\n".join(f"coupon deal -> https://shop.example/{i}/best-price" for i in range(12)),
+    8: "cheap licence coupon wholesale price discount bundle deal store brand outlet voucher sale promo rebate clearance bargain offer trial download software template planner roadmap tracker backlog ranking review comparison alternative",
+    9: "Why sprint board? sprint board team wiki sprint board team wiki. Get team wiki, coupon, team wiki and coupon team wiki now! Best near me near me for sprint board. " * 3,
+    10: PROSE + "\n\n" + "backlog app; term mapper; near me; term mapper; backlog app; near me; near me; term mapper; backlog app; " * 4,
+    11: "\n".join(["최저가", "동의 기록", "기획 템플릿", "동의 기록", "로드맵 앱", "용어집 무료"] * 8),
     7: "할인 쿠폰 추천 순위 할인 쿠폰 추천 순위 할인 쿠폰 무료 할인 쿠폰 추천 순위 할인 쿠폰 추천 순위 할인 쿠폰 무료. " * 4,
 }
 HAM = {
@@ -279,6 +283,7 @@ HAM = {
     27: "",
     28: None,
     29: "\n".join("- [ ] Each team will check the ledger before the end of the sprint." for _ in range(12)),
+    31: "\n".join(f"- {who} will rename the locale pack by {day}." for who in ("Lantern team", "Copper squad", "Quarry guild") for day in ("Monday", "Friday", "Thursday")),
     30: "이번 스프린트에서는 감사 기록 정의를 먼저 정리한다. 배포 뒤에는 재고 예약을 하루 동안 지켜본다. " * 3,
 }
 
@@ -288,4 +293,7 @@ def test_spam(spark):
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in keyword_spam.spam(df).collect()) == sorted([*SPAM, 50])
     assert keyword_spam.spam(df.limit(0)).count() == 0
+    french = "Le service garde chaque facture que le client envoie et le service garde chaque contrat que le client signe. " * 4
+    foreign = spark.createDataFrame([(1, french, "fr-FR"), (2, SPAM[9], "fr"), (3, SPAM[1], "unknown"), (4, PROSE, None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in keyword_spam.spam(foreign, lang="lang").collect()) == [2, 3]
     assert keyword_spam.spam(spark.createDataFrame([(1, "coupon deal " * 100_000), (2, PROSE)], "doc_id long, text string")).count() == 1

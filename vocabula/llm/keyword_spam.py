@@ -2,9 +2,12 @@
 
 A text is read line by line. A line is suspect by its links (ratio of link text and no sentence around), its tags, or its
 separators (many short items); other lines form paragraphs, which are suspect by their shares of repeated n-grams, top words and
-duplicate lines. Suspect paragraphs and lists count only if they lack function words. How many function words are too few is
-calibrated per language over all paragraphs of the corpus: LACK times the median share, weighted by characters. Code and log lines are
-never suspect. A page is spam if suspect text makes up more than half of its characters, white space aside.
+duplicate lines, or because they hardly hold a function word at all. Suspect paragraphs and lists count only if they lack function words.
+How many function words are too few is calibrated per language over all paragraphs of the corpus: LACK times the median share, weighted by
+characters. Paragraphs whose sentences repeat their own words, as no sentence does, count whatever function words are strewn in. Code and
+log lines are never suspect. A page is spam if suspect text makes up more than half of its characters, white space aside.
+
+Texts marked as being in a language whose function words are not known are judged by links, tags and repetition within sentences alone.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ FUNCTION_WORDS = {
 KOREAN_ENDING = re.compile(r"[가-힣A-Za-z0-9](?:은|는|이|가|을|를|에|에서|에게|의|로|으로|와|과|만|까지|부터|보다|처럼|마다|다|한다|된다|했다|이다|하고|하며|하면|되면|라서|지만|는데|는지|인가|한|할|된|될|하는|되는|있는|없는|뒤에는|때|지|고|며|면|해서|안에|나|요|죠|까)$")
 
 LACK = 0.4
+#: A paragraph of at least BARE_WORDS words with less than BARE of them function words is suspect, however they differ.
+BARE_WORDS, BARE = 20, 0.03
+#: Share of words that stand in their own sentence before, from which a paragraph of at least ECHO_WORDS words is strung together.
+ECHO, ECHO_WORDS = 0.25, 12
 _HANGUL = re.compile(r"[가-힣]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+", re.I)
@@ -47,7 +54,8 @@ _LEAD = re.compile(r"^[\s>]*(?:[-*•·+]\s+(?:\[[ xX]\]\s+)?|\d{1,3}[.)]\s+)?")
 _LABEL = re.compile(r"^[^\W\d_][\w \-]{0,24}[:=]\s*(?=\S)")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d|\d\d:\d\d|\[?(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
-_SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?。]+\s+(?=\S)")
+_CODE = re.compile(r"[a-z]{2,3}(?=$|[-_])")
 BINS = 100
 
 
@@ -74,22 +82,46 @@ def _repetition(words: list[str], lines: list[str]) -> bool:
         return False
     if len(lines) > 2 and len(set(lines)) * 2 <= len(lines):
         return True
-    if len(set(words)) > 0.78 * n:  # then neither of the following can hold
-        return False
-    pairs = Counter(zip(words, words[1:]))
-    if sum(c for c in pairs.values() if c > 1) >= 0.45 * (n - 1):
-        return True
-    return n >= 24 and sum(c for _, c in Counter(words).most_common(n // 12)) >= 0.5 * n
+    counts = Counter(words)
+    if len(counts) <= 0.78 * n:  # else neither of the following can hold
+        pairs = Counter(zip(words, words[1:]))
+        if sum(c for c in pairs.values() if c > 1) >= 0.45 * (n - 1):
+            return True
+        if n >= 24 and sum(c for _, c in counts.most_common(n // 12)) >= 0.5 * n:
+            return True
+    return False
+
+
+def _echo(lines: list[str]) -> bool:
+    """Sentences say their words again: of all words at least ECHO stood in the same sentence before. Short lines are one sentence."""
+    said = again = 0
+    short: list[str] = []
+    for line in lines:
+        sentences = [_WORD.findall(x) for x in _SENTENCE.split(line.lower())]
+        if len(sentences) == 1 and len(sentences[0]) <= 4:
+            short += sentences.pop()
+        for words in sentences:
+            said += len(words)
+            again += len(words) - len(set(words))
+    return said + len(short) >= ECHO_WORDS and again + len(short) - len(set(short)) >= ECHO * (said + len(short))
+
+
+def _marked(lang: str | None) -> str | None:
+    """The language that a text is marked as, `other` if its function words are not known; None if it is not marked by a code."""
+    m = _CODE.match((lang or "").strip().lower())
+    return None if m is None else m[0] if m[0] in ("en", "de", "ko") else "other"
 
 
 def _size(s: str) -> int:
     return len("".join(s.split()))
 
 
-def blocks(text: str) -> tuple[int, list[tuple[str, int, int, int]]]:
-    """Characters without white space; and (language, function word share in BINS, characters, suspect characters) of each block."""
+def blocks(text: str, marked: str | None = None) -> tuple[int, list[tuple[str, int, int, int]]]:
+    """Characters without white space; and (language, function word share in BINS, characters, suspect characters) of each block. Blocks
+    without a language are suspect whatever their function words."""
     out: list[tuple[str, int, int, int]] = []
     total, fenced, plain, plain_size = 0, False, [], 0
+    other = _marked(marked) == "other"
 
     def close() -> None:
         nonlocal plain_size
@@ -97,7 +129,18 @@ def blocks(text: str) -> tuple[int, list[tuple[str, int, int, int]]]:
             joined = " ".join(plain).lower()
             words = _WORD.findall(joined)
             lang = language(words, joined)
-            out.append((lang, min(BINS, int(function_share(words, lang) * BINS)), plain_size, plain_size if _repetition(words, plain) else 0))
+            share = function_share(words, lang)
+            if _echo(plain):
+                out.append(("", 0, plain_size, plain_size))
+            elif other and lang != "ko":
+                out.append(("other", BINS, plain_size, 0))
+            else:
+                suspect = _repetition(words, plain)
+                if suspect and len(set(plain)) < len(plain):  # a line that stands many times speaks once
+                    once = _WORD.findall(" ".join(dict.fromkeys(plain)).lower())
+                    share = min(share, function_share(once, lang))
+                suspect = suspect or (len(words) >= BARE_WORDS and share < BARE)
+                out.append((lang, min(BINS, int(share * BINS)), plain_size, plain_size if suspect else 0))
             plain.clear()
             plain_size = 0
 
@@ -137,7 +180,7 @@ def blocks(text: str) -> tuple[int, list[tuple[str, int, int, int]]]:
                 if sum(counts) <= 3.5 * len(items) and max(counts) <= 6:
                     words = _WORD.findall(listed.lower())
                     lang = language(words, listed)
-                    out.append((lang, min(BINS, int(function_share(words, lang) * BINS)), n, n))
+                    out.append(("", 0, n, n) if _echo([listed]) else (lang, min(BINS, int(function_share(words, lang) * BINS)), n, n))
                     continue
         plain.append(body)
         plain_size += n
@@ -149,8 +192,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.int32()), ("chars", pa.int64()), ("suspect", pa.int64())]))
     for b in batches:
         totals, found = [], []
-        for t in b.column(1).to_pylist():
-            total, parts = blocks(t or "")
+        for t, marked in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            total, parts = blocks(t or "", marked)
             merged: dict[tuple[str, int], list[int]] = {}
             for lang, share, chars, suspect in parts:
                 m = merged.setdefault((lang, share), [0, 0])
@@ -161,16 +204,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(totals, pa.int64()), pa.array(found, kind)], ["doc_id", "total", "blocks"])
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, total, blocks): small beside the text. Null and empty texts have no blocks."""
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(doc_id, total, blocks): small beside the text. Null and empty texts have no blocks. lang: column of language codes, if there is one."""
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("lang"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return kept.mapInArrow(_features, f"doc_id {kind}, total long, blocks array<struct<lang: string, share: int, chars: long, suspect: long>>")
 
 
 def thresholds(feats: DataFrame, lack: float = LACK) -> dict[str, int]:
     """By language the share of function words, in BINS, below which a paragraph lacks them: `lack` times the weighted median."""
-    # shares come in BINS + 1 values, so this is at most that many rows for each of three languages
+    # shares come in BINS + 1 values, so this is at most that many rows for each of four classes of languages
     hist = feats.select(F.explode("blocks").alias("b")).filter("b.lang <> ''").groupBy("b.lang", "b.share").agg(F.sum("b.chars").alias("chars")).collect()
     out = {}
     for lang in {r["lang"] for r in hist}:
@@ -184,9 +227,9 @@ def thresholds(feats: DataFrame, lack: float = LACK) -> dict[str, int]:
     return out
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lack: float = LACK) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lack: float = LACK, lang: str | None = None) -> DataFrame:
     """(doc_id, total, suspect): characters, and those of suspect blocks that lack function words. Every row counts, copies too."""
-    feats = cut(features(docs, doc_id, text))
+    feats = cut(features(docs, doc_id, text, lang))
     limits = {"": 1, **thresholds(feats, lack)}
 
     def limit(b):
@@ -199,6 +242,6 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lack: fl
     return feats.select("doc_id", "total", suspect.alias("suspect"))
 
 
-def spam(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lack: float = LACK) -> DataFrame:
+def spam(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lack: float = LACK, lang: str | None = None) -> DataFrame:
     """doc_ids of spam pages: suspect text makes up more than half of their characters."""
-    return scored(docs, doc_id, text, lack).filter("suspect * 2 > total").select("doc_id")
+    return scored(docs, doc_id, text, lack, lang).filter("suspect * 2 > total").select("doc_id")

@@ -140,7 +140,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 10 -----------------------------------------------------------------------------------------------------------------
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_spam.spam(table(spark, sf_dir, "documents")).distinct()
+    return keyword_spam.spam(table(spark, sf_dir, "documents"), lang="lang").distinct()
 
 
 #: Cleaning, numbered tokens and Jaccard of every distinct value with every spelling of its field.
