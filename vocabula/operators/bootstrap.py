@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import threading
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabula import dictionaries as d
@@ -42,7 +46,8 @@ def aliases(name: Column, human: Column) -> Column:
 def inferred_terms(concepts: DataFrame, order: str) -> DataFrame:
     """One term per distinct name: of equal names the one of the most telling kind, then the first in `order`."""
     human = naming.humanize(F.col("name"))
-    made = F.concat(F.upper(F.left("kind", F.lit(1))), F.substring("kind", 2, 100), F.lit(' "'), F.col("name"), F.lit('" in '), F.col("filePath"), F.lit("."))
+    told = " found in ", ". This term was auto-discovered during codebase bootstrap and may represent an organizational concept."
+    made = F.concat(F.upper(F.left("kind", F.lit(1))), F.substring("kind", 2, 100), F.lit(' "'), F.col("name"), F.lit('"' + told[0]), F.col("filePath"), F.lit(told[1]))
     rows = concepts.filter(worthy()).select(
         wide_trim(F.lower("name")).alias("key"),
         F.struct(lookup(F.col("kind"), d.KIND_ORDER, F.lit(99)).alias("k"), F.col(order).alias("o")).alias("ord"),
@@ -62,3 +67,45 @@ def preview(concepts: DataFrame, order: str) -> DataFrame:
     terms = inferred_terms(concepts, order)
     mapped = m.mappings(m.term_tokens(terms.withColumnRenamed("concept_id", "id")), m.concept_tokens(concepts))
     return mapped.groupBy("term_name", "concept_id").agg(F.max("confidence").alias("confidence"))
+
+
+def chosen_terms(ingested: DataFrame | None, inferred: DataFrame) -> DataFrame:
+    """(name, definition, term_source): the terms of an adapter, or those inferred from code where there is no adapter or it has none."""
+    cols = ["name", "definition"]
+    own = inferred.select(*cols, F.lit("codebase-inferred").alias("term_source"))
+    if ingested is None or ingested.isEmpty():
+        return own
+    return ingested.select(*cols, F.lit("adapter").alias("term_source"))
+
+
+def within(seconds: float, spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """Runs the jobs of an extraction and cancels them when they take longer than it may: TimeoutError then."""
+    tag = f"extract-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    clock = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    clock.start()
+    try:
+        return work()
+    except Exception as e:
+        raise TimeoutError(f"the extraction took more than {seconds} s") if late.is_set() else e from None
+    finally:
+        clock.cancel()
+        spark.removeTag(tag)
+
+
+def run(concepts: DataFrame, order: str, ingested: DataFrame | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
+    """The whole run: terms, their mapped locations, and what was done in numbers. A dry run has no locations."""
+    inferred = inferred_terms(concepts, order)
+    terms = chosen_terms(ingested, inferred)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
+    numbers = count(concepts, "concepts").union(terms.groupBy(F.concat(F.lit("terms:"), "term_source").alias("measure")).agg(F.count(F.lit(1)).alias("n")))
+    out = {"terms": terms, "numbers": numbers}
+    if not dry_run:
+        out["locations"] = preview(concepts, order)
+    return out

@@ -76,6 +76,12 @@ def _joined(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return hit.filter((F.substring("text", F.col("at"), long) == F.col("low")) & free & (long >= 3)).select(*cols).union(tiny.filter(free).select(*cols))
 
 
+def tool_texts(calls: DataFrame, key: str, tool: str, given: str, result: str, own: str) -> DataFrame:
+    """(key, text): what tools were given and returned, but for calls of tools whose names begin with `own` and blank texts."""
+    text = F.concat_ws(" ", F.coalesce(given, F.lit("")), F.coalesce(result, F.lit("")))
+    return calls.filter(~F.startswith(F.coalesce(tool, F.lit("")), F.lit(own))).select(F.col(key).alias("key"), text.alias("text")).filter(wide_trim(F.col("text")) != "")
+
+
 def best(found: DataFrame, terms: DataFrame, most: int = 10) -> DataFrame:
     """The `most` most coupled terms of each text; ties by id."""
     score = terms.select(F.col("id").alias("term_id"), F.coalesce("coupling.score", F.lit(0.0)).alias("coupled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,12 @@ def labels(terms: DataFrame, most: int = 200) -> DataFrame:
     )
 
 
+def cold_start(terms: DataFrame, message: str = "The glossary has no terms yet.", how: Sequence[str] = ("Run the bootstrap", "Import items", "Add terms")) -> DataFrame:
+    """(cold_start, message, how): one row of guidance if the store is empty, else no row. Looks at one term at most."""
+    one = terms.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    return one.select(F.lit(True).alias("cold_start"), F.lit(message).alias("message"), F.array(*[F.lit(x) for x in how]).alias("how"))
+
+
 # resources ----------------------------------------------------------------------------------------------------------
 def categories(terms: DataFrame) -> DataFrame:
     return terms.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(F.count(F.lit(1)).alias("terms"))

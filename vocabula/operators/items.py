@@ -86,6 +86,49 @@ def listed(items: DataFrame, project: str | None = None, category: str | None =
     return items
 
 
+def get_item(items: DataFrame, item_id: str) -> DataFrame:
+    """The item of an id: one row or none."""
+    return items.filter(F.col("id") == F.lit(item_id)).limit(1)
+
+
+def get_project(items: DataFrame, project_id: str) -> DataFrame:
+    """(projectId, items, updated) of one project; no row if it has no items."""
+    return items.filter(F.col("projectId") == F.lit(project_id)).groupBy("projectId").agg(F.count(F.lit(1)).alias("items"), F.max("updatedAt").alias("updated"))
+
+
+def extracted(items: DataFrame, order: Sequence[str], project: str | None = None, types: Sequence[str] | None = None, since: str | None = None, with_archived: bool = False, most: int | None = None) -> DataFrame:
+    """Items that a run extracts: of a project, of canonical types, updated since a time (ISO text, inclusive), archived ones left out
+    unless they are wanted (column archived, where there is one); at most `most`, the first in `order`."""
+    items = listed(items, project=project, since=since)
+    if types:
+        items = items.filter(F.col("item_type").isin(*types))
+    if not with_archived and "archived" in items.columns:
+        items = items.filter(~F.coalesce(F.col("archived"), F.lit(False)))
+    return items.orderBy(*order).limit(most) if most else items
+
+
+# validation of assembled items --------------------------------------------------------------------------------------
+def is_member(value: Column, members: Sequence[str]) -> Column:
+    """Membership of a fixed list, exactly as written; null is none."""
+    return F.coalesce(value.isin(*members), F.lit(False))
+
+
+def item_problems(items: DataFrame) -> DataFrame:
+    """Adds problems: names of the fields of an item (id, type, title, status, priority, url, createdAt, updatedAt) that break its rules, in
+    this order. url may be missing, all others may not."""
+    rules = {
+        "id": F.coalesce(F.col("id").rlike(d.UUID_FORM), F.lit(False)),
+        "type": is_member(F.col("type"), d.PM_ITEM_TYPES),
+        "title": F.coalesce(F.length("title") > 0, F.lit(False)),
+        "status": is_member(F.col("status"), d.PM_STATUSES),
+        "priority": is_member(F.col("priority"), d.PM_PRIORITIES),
+        "url": F.col("url").isNull() | F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:\S+$"),
+        "createdAt": F.coalesce(F.col("createdAt").rlike(d.DATETIME_FORM), F.lit(False)),
+        "updatedAt": F.coalesce(F.col("updatedAt").rlike(d.DATETIME_FORM), F.lit(False)),
+    }
+    return items.withColumn("problems", F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()])))
+
+
 def page(items: DataFrame, order: Sequence[str], cursor: int = 0, size: int = 100) -> DataFrame:
     """One page of a listing."""
     return items.orderBy(*order).offset(cursor).limit(size)
@@ -161,6 +204,29 @@ def schema_terms(databases: DataFrame) -> DataFrame:
     return p.filter(wanted).select("database_id", F.explode("p.options").alias("title"), F.when(kind == "status", "status").otherwise("label").alias("type"), "property")
 
 
+#: Roles of a database's properties: names that have them, in order, and the type that has them (fixed values). By name first or by type first.
+ROLES = {
+    "title": ("type", [], "title", "Name"),
+    "description": ("name", ["description", "summary", "details"], "rich_text", ""),
+    "type": ("name", ["type", "item type", "kind"], None, ""),
+    "status": ("type", ["status", "state", "stage"], "status", ""),
+    "labels": ("name", ["tags", "labels", "areas", "domains", "components"], "multi_select", ""),
+    "category": ("name", ["category", "area", "domain", "team"], None, ""),
+}
+
+
+def property_roles(schema: Sequence[tuple[str, str]], explicit: dict[str, str] | None = None) -> dict[str, str]:
+    """Property of each role in a database's schema, (name, type) in order: the one named explicitly, else found by name (in any case) or type,
+    else the default."""
+
+    def found(first: str, names: list[str], kind: str | None) -> str | None:
+        by_name = next((p for n in names for p, _ in schema if p.lower() == n), None)
+        by_type = next((p for p, t in schema if kind is not None and t == kind), None)
+        return (by_type or by_name) if first == "type" else (by_name or by_type)
+
+    return {role: (explicit or {}).get(role) or found(first, names, kind) or default for role, (first, names, kind, default) in ROLES.items()}
+
+
 def property_values(pages: DataFrame, column: str = "properties") -> DataFrame:
     """(id, name, tag, value): property values of pages (JSON text: name -> tagged value) as tagged values; other kinds are left out."""
     p = pages.select("id", F.explode(F.from_json(column, "map<string,string>")).alias("name", "json"))

@@ -72,3 +72,9 @@ def merged_locations(prs: DataFrame, terms: DataFrame) -> DataFrame:
     every = keys.join(locations(prs), "number").groupBy("name_key", "filePath").agg(F.max_by(F.struct("relationship", "note"), F.struct("number", "ord")).alias("l"))
     had = terms.select(F.lower("name").alias("name_key"), F.explode("codeLocations.filePath").alias("filePath")).distinct()
     return every.join(had, ["name_key", "filePath"], "left_anti").select("name_key", "filePath", "l.relationship", "l.note")
+
+
+def run_numbers(outcome: DataFrame, dry_run: bool = False) -> DataFrame:
+    """(action, names, new_files) of learned(); a dry run counts the same but marks its actions as what would be done."""
+    prefix = "would be " if dry_run else ""
+    return outcome.groupBy(F.concat(F.lit(prefix), "action").alias("action")).agg(F.count(F.lit(1)).alias("names"), F.sum("new_files").alias("new_files"))

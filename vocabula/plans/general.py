@@ -147,6 +147,9 @@ ORACLE = {
     "p3_found": _P3_SQL + "SELECT src, row_key, ref_key FROM found",
     "p3_periods": _P3_SQL + "SELECT src, period, count(*) AS orphans, count(DISTINCT ref_key) AS missing_keys FROM found GROUP BY src, period",
     "p4_found": _P4_SQL + "SELECT DISTINCT record_id, parent_key, child, ord FROM flat WHERE item IS NOT NULL AND json_type(item) <> 'NULL'",
+    "p4_raw_files": _P4_SQL
+    + """SELECT DISTINCT record_id, parent_key, child, ord, coalesce(item->>'$.filePath', item->>'$.filename') AS file, coalesce(item->>'$.relationship', item->>'$.status') AS role,
+        item->>'$.lineRange.start' AS first_line FROM flat WHERE item IS NOT NULL AND json_type(item) <> 'NULL' AND child <> 'alias'""",
     "p4_term_locations": f"""SELECT row_id, id, (k - 1)::BIGINT AS ord, items[k].filePath AS filePath, items[k].symbol AS symbol,
         items[k].lineRange.start AS first_line, items[k].lineRange."end" AS last_line, items[k].relationship AS relationship, items[k].note AS note
         FROM ({_P4_TERMS.format("codeLocations")}) WHERE items[k] IS NOT NULL""",

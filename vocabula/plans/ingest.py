@@ -144,7 +144,7 @@ ORACLE = {
           WHEN kind = 'module' THEN exported AND lower(name) NOT IN ({", ".join(map(_quote, d.GENERIC_MODULES))}) WHEN kind = 'directory' THEN lower(name) NOT IN ({", ".join(map(_quote, d.GENERIC_DIRECTORIES))})
           WHEN kind = 'function' THEN exported AND length(name) > 3 WHEN kind IN ('namespace', 'term', 'definition') THEN true WHEN kind = 'section' THEN lower(name) NOT IN ({", ".join(map(_quote, d.GENERIC_SECTIONS))}) ELSE false END),
         o AS (SELECT *, {_trim("lower(name)")} AS key, string_split(human, ' ') AS hw FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY ko, concept_row) = 1)
-        SELECT key, id AS concept_id, human AS name, CASE WHEN length(description) > 10 THEN description ELSE upper(left(kind, 1)) || substr(kind, 2) || ' "' || name || '" in ' || filePath || '.' END AS definition,
+        SELECT key, id AS concept_id, human AS name, CASE WHEN length(description) > 10 THEN description ELSE upper(left(kind, 1)) || substr(kind, 2) || ' "' || name || '" found in ' || filePath || '. This term was auto-discovered during codebase bootstrap and may represent an organizational concept.' END AS definition,
           list_filter([CASE WHEN name <> human AND name <> regexp_replace(human, '[{SP}]', '', 'g') THEN name END, CASE WHEN len(hw) BETWEEN 2 AND 5 THEN array_to_string(list_transform(hw, lambda x: upper(left(x, 1))), '') END], lambda x: x IS NOT NULL) AS aliases,
           list_filter(string_split(filePath, '/'), lambda x: x <> '' AND NOT contains(x, '.') AND NOT list_contains({_list(d.NON_DOMAIN_DIRECTORIES)}, lower(x)))[1] AS category, [kind, language, 'bootstrap'] AS tags FROM o""",
 }

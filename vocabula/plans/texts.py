@@ -165,6 +165,16 @@ z AS (SELECT *, CASE WHEN listed THEN trim(regexp_extract(bare, '^(?:[-*•]|\d+
 w AS (SELECT *, regexp_extract(t, '(?i)^{_TYPED}[:-]\s*(.+)$', ['k', 'r']) AS a, regexp_extract(t, '(?i)^\[{_TYPED}\]\s*(.+)$', ['k', 'r']) AS b FROM z)
 SELECT note_id, CASE WHEN story AND NOT listed THEN bare WHEN a.k <> '' THEN trim(a.r) WHEN b.k <> '' AND (listed OR NOT typed) THEN trim(b.r) ELSE t END AS title,
   CASE WHEN story AND NOT listed THEN 'story' WHEN a.k <> '' THEN lower(a.k) WHEN b.k <> '' THEN lower(b.k) END AS type, CASE WHEN n = 1 AND NOT listed AND NOT typed AND NOT story THEN 0 ELSE indent END AS indent, line FROM w"""
+_CHILD = "CASE {} WHEN 'initiative' THEN 'epic' WHEN 'epic' THEN 'story' WHEN 'story' THEN 'task' WHEN 'task' THEN 'subtask' WHEN 'subtask' THEN 'subtask' WHEN 'bug' THEN 'task' WHEN 'feature' THEN 'story' WHEN 'milestone' THEN 'epic' ELSE 'task' END"
+#: The first line over all later titles, then a title over the deeper one after it.
+_RELATIONS = f"""WITH t AS ({_TITLES.replace("SELECT number AS note_id, string_split(coalesce(body, ''), chr(10)) AS l FROM pull_requests", "SELECT doc_id AS note_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents")}),
+bl AS (SELECT * FROM t WHERE line > 0), ty AS (SELECT note_id, bool_or(type = 'epic') AS e, bool_or(type = 'story') AS s, bool_or(type IN ('task', 'subtask')) AS k FROM bl GROUP BY note_id),
+hp AS (SELECT t.note_id, t.title, coalesce(t.type, CASE WHEN e THEN 'initiative' WHEN s THEN 'epic' WHEN k THEN 'story' ELSE 'epic' END) AS up FROM t JOIN ty USING (note_id) WHERE t.line = 0 AND t.indent = 0),
+one AS (SELECT hp.note_id, hp.title AS parent, up AS parent_type, bl.title AS child, coalesce(bl.type, {_CHILD.format("up")}) AS child_type FROM hp JOIN bl USING (note_id)),
+nxt AS (SELECT note_id, line, title AS parent, coalesce(type, 'epic') AS up, indent, lead(title) OVER w AS child, lead(type) OVER w AS ct, lead(indent) OVER w AS deep FROM t WINDOW w AS (PARTITION BY note_id ORDER BY line)),
+two AS (SELECT note_id, parent, up AS parent_type, child, coalesce(ct, {_CHILD.format("up")}) AS child_type FROM nxt WHERE deep > indent
+  AND NOT EXISTS (SELECT 1 FROM one o WHERE o.note_id = nxt.note_id AND o.parent = nxt.parent AND o.child = nxt.child) QUALIFY row_number() OVER (PARTITION BY note_id, parent, child ORDER BY line) = 1)
+SELECT * FROM one UNION ALL SELECT * FROM two"""
 _TOP = f"""WITH {TERMS_SQL}, lab AS (SELECT DISTINCT id, lower(unnest(list_concat([name], aliases))) AS label FROM terms), pr AS (SELECT file_row AS key, lower('change ' || array_to_string(termNames, ', ') || ' in ' || filePath) AS text FROM affected_files WHERE query IS NOT NULL),
 hit AS (SELECT DISTINCT p.key, l.id AS term_id FROM pr p JOIN lab l ON contains(p.text, l.label) AND regexp_replace(l.label, '[{views.SPACE_SQL}]', '', 'g') <> '' WHERE regexp_matches(p.text, '(^|[^a-z0-9_])' || regexp_escape(l.label) || '($|[^a-z0-9_])')),
 top AS (SELECT key, term_id, row_number() OVER (PARTITION BY key ORDER BY coalesce(t.coupling.score, 0) DESC, term_id) AS rank FROM hit JOIN terms t ON t.id = hit.term_id QUALIFY rank <= 10)"""
@@ -188,6 +198,7 @@ ORACLE = {
         dirs AS (SELECT id, regexp_extract(id, '([^/]+)$', 1) AS name, nullif(regexp_extract(id, '^(.*)/[^/]+$', 1), '') AS parent_id, count(*) AS children FROM entries GROUP BY id)
         SELECT *, CASE lower(name) {" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in scan.DIRECTORIES.items())} ELSE 'Directory containing ' || children || CASE WHEN children = 1 THEN ' item' ELSE ' items' END END AS description FROM dirs""",
     "nl_titles": _TITLES,
+    "nl_hierarchy": _RELATIONS,
     "scan_names": f"""WITH {CONCEPTS_SQL} SELECT DISTINCT filePath, name FROM concepts WHERE (language = 'typescript' AND kind IN ('class', 'interface', 'enum') AND (filePath LIKE '%.ts' OR filePath LIKE '%.tsx'))
         OR (language IN ('javascript', 'python') AND kind = 'class')""",
     "scan_stats": f"""WITH {CONCEPTS_SQL}, k AS (SELECT unnest([{", ".join(map(_q, d.CONCEPT_KINDS))}]) AS key)

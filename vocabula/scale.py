@@ -56,6 +56,13 @@ class Scratch:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def progress(spark: SparkSession) -> list[tuple[int, int, int]]:
+    """(stage, tasks done, tasks) of the stages that run now, for a caller that shows how far a long plan is."""
+    tracker = spark.sparkContext.statusTracker()
+    infos = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
+    return [(i.stageId, i.numCompletedTasks, i.numTasks) for i in infos if i is not None]
+
+
 def total(df: DataFrame, weight: str) -> int:
     return df.agg(F.sum(weight)).first()[0] or 0
 

@@ -74,6 +74,24 @@ def listing(spark: SparkSession, *registries: Registry) -> DataFrame:
     return spark.createDataFrame(rows, "type string, name string, title string, made boolean")
 
 
+def test_connection(spark: SparkSession, registry: Registry, name: str, config: dict) -> DataFrame:
+    """(name, connected, message): whether an adapter can be made and its first row be read; never raises."""
+    try:
+        made = registry.get_or_create(name, config)
+        made(spark).limit(1).collect()
+        row = (name, True, "connected")
+    except KeyError:
+        row = (name, False, f"there is no adapter {name}")
+    except Exception as e:  # any failure of a source is an answer here
+        row = (name, False, str(e).split("\n")[0])
+    return spark.createDataFrame([row], "name string, connected boolean, message string")
+
+
+def memory_source(rows: list[tuple], schema: str) -> Callable[[SparkSession], DataFrame]:
+    """A source that is seeded with rows, to stand in for an external one."""
+    return lambda spark: spark.createDataFrame(rows, schema)
+
+
 def scm_adapter(url: str) -> str | None:
     """Adapter of an address by its host."""
     return HOSTS.get((urlparse(url).hostname or "").removeprefix("www."))

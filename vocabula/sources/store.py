@@ -17,6 +17,11 @@ STORE = f"version string, organization string, lastModified string, terms map<st
 VERSION = "1.0.0"
 
 
+#: Terms that one JSON document may hold, and the name of the pointer to the current version.
+MAX_DOCUMENT = 200_000
+POINTER = "CURRENT"
+
+
 class StoreError(ValueError):
     """A store that cannot be read; `code` is PARSE_ERROR or VALIDATION_ERROR."""
 
@@ -41,7 +46,7 @@ def read(spark: SparkSession, path: str, organization: str = "default", strict:
         broken = doc.filter("_corrupt_record IS NOT NULL").limit(1).count()
         if broken:
             raise StoreError("PARSE_ERROR", f"{path} is not a JSON document of a store")
-        problems = [r["problem"] for r in problems_of(meta, doc).limit(20).collect()]
+        problems = [r["problem"] for r in problems_of(meta, doc).collect()]  # one document, so a handful
         if problems:
             raise StoreError("VALIDATION_ERROR", "; ".join(problems))
     return doc.select(F.explode("terms").alias("_key", "t")).select("t.*"), meta
@@ -55,23 +60,33 @@ def problems_of(meta: DataFrame, doc: DataFrame) -> DataFrame:
     return doc.select(F.explode(F.array_compact(F.array(*rules))).alias("problem"))
 
 
-def write(terms: DataFrame, path: str, organization: str, now: str) -> None:
-    """One JSON document, as other tools read it; it is staged and renamed, so readers see the old or the new one.
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file over another in one step, so there is no moment without one."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    how = getattr(jvm, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    jvm.FileContext.getFileContext(jvm.Path(target).toUri(), spark._jsc.hadoopConfiguration()).rename(jvm.Path(source), jvm.Path(target), options)
+
+
+def write(terms: DataFrame, path: str, organization: str, now: str, most: int = MAX_DOCUMENT) -> None:
+    """One JSON document, as other tools read it. It is staged and renamed over the old one in one step: readers see the old or the new.
 
-    The document is one value and so as large as one task can hold; glossaries beyond that belong in write_parquet().
+    The document is one value in one task, so glossaries of more than `most` terms are refused; they belong in write_parquet().
     """
     spark = terms.sparkSession
+    n = terms.count()
+    if n > most:
+        raise StoreError("TOO_LARGE", f"{n} terms are more than one document may hold ({most})")
     columns = [F.col(c) for c in terms.columns if c in _fields()]
     doc = terms.select(F.struct(*columns).alias("t")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("t.id"), F.col("t")))).alias("terms"))
     out = doc.select(F.lit(VERSION).alias("version"), F.lit(organization).alias("organization"), F.lit(now).alias("lastModified"), "terms")
     stage = f"{path}.{uuid.uuid4().hex}"
     out.coalesce(1).write.json(stage)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    source, target = jvm.Path(stage), jvm.Path(path)
+    source = spark._jvm.org.apache.hadoop.fs.Path(stage)
     fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, True)
-    fs.rename(part, target)
+    part = next(x.getPath() for x in fs.listStatus(source) if x.getPath().getName().startswith("part-"))
+    _replace(spark, part.toString(), path)
     fs.delete(source, True)
 
 
@@ -79,5 +94,35 @@ def _fields() -> set[str]:
     return set("id name definition aliases codeLocations category tags source confidence coupling createdAt updatedAt".split())
 
 
-def write_parquet(terms: DataFrame, path: str) -> None:
-    terms.write.mode("overwrite").parquet(path)
+def write_parquet(terms: DataFrame, path: str) -> str:
+    """A store of any size: a new version beside the others, then the pointer to it is renamed over the old one. Returns the version.
+
+    Readers of the old version keep it; drop_versions() removes what the pointer does not name.
+    """
+    spark = terms.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    terms.write.parquet(f"{path}/{version}")
+    stage = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}.{version}")
+    out = stage.getFileSystem(spark._jsc.hadoopConfiguration()).create(stage, True)
+    out.writeBytes(version)
+    out.close()
+    _replace(spark, stage.toString(), f"{path}/{POINTER}")
+    return version
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    return spark.read.text(f"{path}/{POINTER}").first()["value"]
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names."""
+    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Removes all versions but the current one."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, kept = root.getFileSystem(spark._jsc.hadoopConfiguration()), _current(spark, path)
+    for x in fs.listStatus(root):
+        if x.getPath().getName().startswith("v-") and x.getPath().getName() != kept:
+            fs.delete(x.getPath(), True)
