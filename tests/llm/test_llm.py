@@ -61,6 +61,13 @@ def test_pairs(spark, chunk):
     assert got == {p: (len(sets), one[p[0]], one[p[1]], c) for p, c in two.items()}
 
 
+def test_items_that_share_a_hash(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["c", "d"])], "rid long, terms array<string>")
+    worst = lambda x, level: F.xxhash64(F.lit(level), x) if level > 1 else F.lit(7).cast("long") + F.when(x == "d", 1).otherwise(0)
+    got = {(r["term_a"], r["term_b"]): r["n_ab"] for r in cooccurrence.associations(cooccurrence.baskets(df, "t", "rid", "terms"), code=worst).collect()}
+    assert got == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("c", "d"): 1}
+
+
 def test_huge_basket(spark):
     df = spark.createDataFrame([(1, [f"t{i:04d}" for i in range(700)]), (2, ["t0001", "t0699"])], "rid long, terms array<string>")
     got = cooccurrence.associations(cooccurrence.baskets(df, "t", "rid", "terms"))
@@ -293,7 +300,7 @@ def test_spam(spark):
     df = clash(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in keyword_spam.spam(df).collect()) == sorted([*SPAM, 50])
     assert keyword_spam.spam(df.limit(0)).count() == 0
-    french = "Le service garde chaque facture que le client envoie et le service garde chaque contrat que le client signe. " * 4
+    french = "Le service garde chaque facture que le client envoie. Son équipe vérifie tous les comptes avant la fin du mois. " * 4
     foreign = spark.createDataFrame([(1, french, "fr-FR"), (2, SPAM[9], "fr"), (3, SPAM[1], "unknown"), (4, PROSE, None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in keyword_spam.spam(foreign, lang="lang").collect()) == [2, 3]
     assert keyword_spam.spam(spark.createDataFrame([(1, "coupon deal " * 100_000), (2, PROSE)], "doc_id long, text string")).count() == 1

@@ -8,7 +8,7 @@ ones are cut into overlapping segments of bounded size, so the sketches of a ver
 ones. A document's sketch is the set of its runs' MinHashes, about one in five words.
 
 The index of passages is broadcast up to `broadcast_runs` runs; beyond that, sketches of documents meet those of passages in a
-shuffle join. Either way each candidate is verified word by word.
+shuffle join, in which sketches that stand in very many texts are met by broadcast. Either way each candidate is verified word by word.
 """
 
 from __future__ import annotations
@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocabula.llm.words import Words, shingles, sliding_min
+from vocabula.scale import cut, hot_keys, join_beside
 
 RUN = 13
 SHINGLE = 5
 #: Characters of a segment; a word is rarely longer than a few dozen characters, so overlaps are measured in words below.
 SEGMENT = 1 << 20
 BROADCAST_RUNS = 2_000_000
+#: Runs of passages with sketches of very many texts up to which they are broadcast.
+HOT_ROWS = 1_000_000
 
 
 def _run_minima(w: Words, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +138,28 @@ def _by_shuffle(parts: DataFrame, items: DataFrame, types: str, run: int, shingl
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, t, i, p in zip(*(b.column(k).to_pylist() for k in range(4))):
-                w = Words([t, p])
-                split = w.first[1]
-                mine = {tuple(w.hashes[k : k + run].tolist()): k for k in range(split, w.first[2] - run + 1)}
-                for k in range(split - run + 1):
-                    j = mine.get(tuple(w.hashes[k : k + run].tolist()))
-                    if j is not None and w.words(k, k + run) == w.words(j, j + run):
-                        yield pa.RecordBatch.from_pylist([{"doc_id": d, "item_id": i}])
-                        break
+            for d, t, held in zip(*(b.column(k).to_pylist() for k in range(3))):
+                w = Words([t, *(h["passage"] for h in held)])
+                grams = shingles(w.hashes, run)
+                mine: dict[int, list[int]] = defaultdict(list)  # runs of the text that some passage may hold
+                wanted = {int(grams[j]) for i in range(1, len(held) + 1) for j in range(w.first[i], w.first[i + 1] - run + 1)}
+                for k in np.flatnonzero(np.isin(grams[: max(int(w.first[1]) - run + 1, 0)], np.array(list(wanted), np.uint64))).tolist():
+                    mine[int(grams[k])].append(k)
+                for i, h in enumerate(held, 1):
+                    if any(w.words(k, k + run) == w.words(j, j + run) for j in range(w.first[i], w.first[i + 1] - run + 1) for k in mine.get(int(grams[j]), ())[:1]):
+                        yield pa.RecordBatch.from_pylist([{"doc_id": d, "item_id": h["item_id"]}])
 
     numbered = parts.withColumn("segment", F.xxhash64("text"))
     left = numbered.select(F.struct("doc_id", "segment").alias("key"), "text")
     flat = left.select(F.to_json("key").alias("id"), "text").mapInArrow(sketch, "id string, minhash long")
-    right = items.select(F.col("item_id").cast("string").alias("id"), F.col("passage").alias("text")).mapInArrow(sketch, "id string, minhash long")
-    pairs = flat.join(right.withColumnRenamed("id", "item"), "minhash").select("id", "item").distinct()
-    found = (
-        pairs.join(left.select(F.to_json("key").alias("id"), "key.doc_id", "text"), "id")
-        .join(items.select(F.col("item_id").cast("string").alias("item"), "item_id", "passage"), "item")
-        .select("doc_id", "text", "item_id", "passage")
-    )
+    right = cut(items.select(F.col("item_id").cast("string").alias("id"), F.col("passage").alias("text")).mapInArrow(sketch, "id string, minhash long").withColumnRenamed("id", "item"))
+    # only runs that some passage has stay; what stands in very many texts is met by broadcast
+    flat = cut(flat.join(right.select("minhash").distinct(), "minhash", "left_semi"))
+    hot = hot_keys(flat.groupBy("minhash").agg(F.count(F.lit(1)).alias("n")), ["minhash"], "n", flat.count())
+    if hot is not None and right.join(F.broadcast(hot), "minhash", "left_semi").count() > HOT_ROWS:
+        hot = None  # left to the splitting of skewed partitions at run time
+    pairs = join_beside(flat, right, hot, ["minhash"]).select("id", "item").distinct()
+    asked = pairs.join(items.select(F.col("item_id").cast("string").alias("item"), "item_id", "passage"), "item").groupBy("id").agg(F.collect_list(F.struct("item_id", "passage")).alias("held"))
+    # a text comes back once, with all its candidates
+    found = asked.join(left.select(F.to_json("key").alias("id"), "key.doc_id", "text"), "id").select("doc_id", "text", "held")
     return found.mapInArrow(verify, types).distinct()
