@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocabula import dictionaries as d
-from vocabula.operators import glossary
+from vocabula.operators import glossary, signals
 from vocabula.scale import global_rank
 
 
-def enriched_search(terms: DataFrame, query: str, enriched: DataFrame, boosts: DataFrame, category: str | None = None, weight: float = d.ENRICHMENT_WEIGHT) -> DataFrame:
-    """All hits with base_relevance (by place), enrichment, boost and combined score, and both places. Order by enriched_rank."""
+#: Hits up to which their ids are broadcast to the log; the log is shuffled to them beyond it.
+NEAR = 100_000
+
+
+def enriched_search(terms: DataFrame, query: str, usage: DataFrame, category: str | None = None, weight: float = d.ENRICHMENT_WEIGHT) -> DataFrame:
+    """All hits with base_relevance (by place), enrichment, boost and combined score, and both places. Order by enriched_rank.
+
+    The log is reduced to the hits before it is aggregated."""
     hits = glossary.listed(glossary.search(terms, query), category=category)
     ranked = global_rank(hits.select("id", "name", "confidence", F.size("codeLocations").alias("locations"), "score"), [F.col("score").desc(), F.col("id")], "base_rank")
     n = ranked.count()
+    ids = ranked.select(F.col("id").alias("term_id"))
+    ids = F.broadcast(ids) if n <= NEAR else ids
+    enriched = signals.enrichment(usage, ids)
+    boosts = signals.boosts(signals.query_terms(usage, ids), enriched)
     mine = boosts.filter(F.col("query") == F.lit(query.strip().lower())).select(F.col("term_id").alias("id"), "boost")
     scored = (
         ranked.join(enriched.select(F.col("term_id").alias("id"), F.col("score").alias("enrichment")), "id", "left")

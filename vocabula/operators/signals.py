@@ -57,26 +57,31 @@ def normalized_query(q: Column) -> Column:
     return F.lower(F.trim(q))
 
 
-def query_terms(usage: DataFrame) -> DataFrame:
+def _of(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Rows of the terms asked for (column term_id), of all if none are given. The rest of the log is left before anything is shuffled."""
+    return rows if ids is None else rows.join(ids.select("term_id"), "term_id", "left_semi")
+
+
+def query_terms(usage: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(query, term_id, first_ts, first_event): each query with the terms it found; blank queries are none."""
     rows = usage.filter(F.col("type") == "query").select(normalized_query(F.col("query")).alias("query"), F.explode("termIds").alias("term_id"), "ts", "event_id")
-    first = rows.filter("query <> '' AND term_id IS NOT NULL").groupBy("query", "term_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    first = _of(rows.filter("query <> '' AND term_id IS NOT NULL"), ids).groupBy("query", "term_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     return first.select("query", "term_id", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event"))
 
 
-def patterns(usage: DataFrame, most: int = d.MAX_PATTERNS) -> DataFrame:
+def patterns(usage: DataFrame, most: int = d.MAX_PATTERNS, ids: DataFrame | None = None) -> DataFrame:
     """The first `most` distinct queries of each term, in order of appearance."""
     w = Window.partitionBy("term_id").orderBy("first_ts", "first_event", "query")
-    return query_terms(usage).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
+    return query_terms(usage, ids).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
 
 
-def enrichment(usage: DataFrame) -> DataFrame:
+def enrichment(usage: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(term_id, access_count, query_hits, patterns, location_additions, alias_additions, verified, last_accessed, score) of every term
     that an event names; repeats of a term within an event count."""
     kind = F.col("type")
     blank = (kind == "query") & (F.coalesce(normalized_query(F.col("query")), F.lit("")) == "")
     rows = usage.filter(~blank).select(F.explode("termIds").alias("term_id"), "type", "ts").filter("term_id IS NOT NULL")
-    counts = rows.groupBy("term_id").agg(
+    counts = _of(rows, ids).groupBy("term_id").agg(
         F.count_if(kind == "access").alias("access_count"),
         F.count_if(kind == "query").alias("query_hits"),
         F.count_if(kind == "code-location-added").alias("location_additions"),
@@ -84,7 +89,7 @@ def enrichment(usage: DataFrame) -> DataFrame:
         F.bool_or(kind == "term-verified").alias("verified"),
         F.max(F.when(kind == "access", F.col("ts"))).alias("last_accessed"),
     )
-    found = patterns(usage).groupBy("term_id").agg(F.sort_array(F.collect_list(F.struct("n", "query"))).alias("p")).select("term_id", F.col("p.query").alias("patterns"))
+    found = patterns(usage, ids=ids).groupBy("term_id").agg(F.sort_array(F.collect_list(F.struct("n", "query"))).alias("p")).select("term_id", F.col("p.query").alias("patterns"))
     joined = counts.join(found, "term_id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
     return joined.withColumn("score", F.round(score(), 9))
 
@@ -118,7 +123,7 @@ def boosts(found: DataFrame, enriched: DataFrame) -> DataFrame:
 
 def related(usage: DataFrame, ids: DataFrame) -> DataFrame:
     """(term_id, other_id, shared): terms found by the queries of the given terms (at most 50 each)."""
-    mine = patterns(usage).join(ids.select("term_id").distinct(), "term_id", "left_semi").select("term_id", "query")
+    mine = patterns(usage, ids=ids).select("term_id", "query")
     others = query_terms(usage).select("query", F.col("term_id").alias("other_id"))
     return mine.join(others, "query").filter("term_id <> other_id").groupBy("term_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
 

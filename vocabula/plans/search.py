@@ -116,9 +116,7 @@ def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = views.signals(spark, sf_dir)
-    e = s.enrichment(u)
-    return r.enriched_search(views.terms(spark, sf_dir), QUERY, e, s.boosts(s.query_terms(u), e))
+    return r.enriched_search(views.terms(spark, sf_dir), QUERY, views.signals(spark, sf_dir))
 
 
 def enriched_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first delivery of each usage event."""
-    w = Window.partitionBy("event_id").orderBy("receivedAt")
+    w = Window.partitionBy("event_id").orderBy("receivedAt", "ts", "type", "query", "client", "termIds")
     return table(spark, sf_dir, "usage_signals").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -41,7 +41,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS_SQL = "terms AS (SELECT * REPLACE (coalesce(aliases, []) AS aliases, coalesce(codeLocations, []) AS codeLocations) FROM glossary_terms QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrivedAt DESC, row_id DESC) = 1)"
 CONCEPTS_SQL = "concepts AS (SELECT * FROM code_concepts QUALIFY row_number() OVER (PARTITION BY id ORDER BY scannedAt DESC, concept_row DESC) = 1)"
 ITEMS_SQL = "items AS (SELECT * REPLACE (coalesce(labels, []) AS labels, coalesce(assignees, []) AS assignees) FROM work_items QUALIFY row_number() OVER (PARTITION BY id ORDER BY receivedAt DESC, item_row DESC) = 1)"
-SIGNALS_SQL = "signals AS (SELECT * FROM usage_signals QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY receivedAt) = 1)"
+SIGNALS_SQL = "signals AS (SELECT * FROM usage_signals QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY receivedAt, ts NULLS FIRST, type NULLS FIRST, query NULLS FIRST, client NULLS FIRST, termIds NULLS FIRST) = 1)"
 REQUESTS_SQL = "requests AS (SELECT * FROM pull_requests QUALIFY row_number() OVER (PARTITION BY number ORDER BY coalesce(len(changedFiles), -1) DESC) = 1)"
 
 #: White space in the wide sense, for the SQL side's regular expressions.
