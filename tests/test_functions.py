@@ -45,7 +45,7 @@ words = st.lists(st.sampled_from(["auth", "authentication", "au", "service", "se
 def test_expression_and_arrow_pass_agree(spark, pairs):
     rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", similarity.partial_overlap(F.col("a"), F.col("b")).alias("v")).collect()
     for r in rows:
-        assert r["v"] == pytest.approx(mapping._overlap(r["a"], r["b"]), abs=1e-12)
+        assert r["v"] == pytest.approx(mapping._overlap(mapping._Tokens(r["a"]), mapping._Tokens(r["b"])), abs=1e-12)
 
 
 def test_names(spark):

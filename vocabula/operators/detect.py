@@ -1,11 +1,13 @@
 """Glossary labels found in prompts and tool output.
 
 A label matches in any case where no ASCII letter, digit or underscore adjoins it, so also next to Hangul. All labels are one automaton, built
-once per worker from a broadcast of labels up to a checked size; above it, labels are joined by their first three characters.
+once per worker process from a broadcast of labels up to a checked size; above it, labels are joined by their first three characters with
+the places of a text where a word may begin.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,19 +37,28 @@ def matches(texts: DataFrame, labels: DataFrame, key: str, text: str, most: int
     return found.groupBy("key", "term_id").agg(F.min_by("label", F.struct("at", (-F.length("label")).alias("n"), "label")).alias("label"))
 
 
+_built: dict = {}
+
+
 def _automaton(rows: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
     import ahocorasick
 
     by: dict[str, list[tuple[str, str]]] = {}
     for r in labels.collect():
         by.setdefault(r["low"], []).append((r["term_id"], r["label"]))
-    shared = rows.sparkSession.sparkContext.broadcast(by)
+    shared, name = rows.sparkSession.sparkContext.broadcast(by), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for low, owners in shared.value.items():
-            a.add_word(low, (len(low), owners))
-        a.make_automaton() if len(a) else None
+        from vocabula.operators.detect import _built  # of the worker process, not a copy that travels with the function
+
+        a = _built.get(name)
+        if a is None:
+            a = ahocorasick.Automaton()
+            for low, owners in shared.value.items():
+                a.add_word(low, (len(low), owners))
+            a.make_automaton() if len(a) else None
+            _built.clear()  # one at a time
+            _built[name] = a
         for b in batches:
             out = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -62,18 +73,17 @@ def _automaton(rows: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
 
 
 def _joined(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Places of a text where a word may begin, by their first three characters, meet the labels that begin so."""
-    places = rows.select("key", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
-    places = places.withColumn("head", F.substring("text", F.col("at"), F.lit(3)))
-    hit = places.join(labels.withColumn("head", F.left("low", F.lit(3))), "head")
-    long = F.length("low")
+    """Places of a text where a word may begin, each with as much of the text as the longest label needs, meet the labels that begin with
+    the same three characters; shorter labels have heads of their own length."""
+    longest = labels.agg(F.max(F.length("low"))).first()[0] or 1
     word = lambda c: c.rlike("^[A-Za-z0-9_]$")
-    free = ~word(F.when(F.col("at") > 1, F.substring("text", F.col("at") - 1, F.lit(1))).otherwise("")) & ~word(F.substring("text", F.col("at") + long, F.lit(1)))
-    # labels of fewer than three characters have a shorter head, which no place has: they are matched on their own length
-    short = labels.filter(long < 3)
-    tiny = places.withColumn("low", F.explode(F.array_distinct(F.array(F.left("head", F.lit(1)), F.left("head", F.lit(2)))))).join(short, "low")
-    cols = ["key", "term_id", "label", (F.col("at") - 1).cast("long").alias("at")]
-    return hit.filter((F.substring("text", F.col("at"), long) == F.col("low")) & free & (long >= 3)).select(*cols).union(tiny.filter(free).select(*cols))
+    starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | ~word(F.substring("text", i - 1, F.lit(1))))
+    places = rows.select("key", "text", F.explode(starts).alias("at")).select("key", "at", F.substring("text", F.col("at"), F.lit(longest + 1)).alias("window"))
+    heads = F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.left("window", n)))).alias("head")
+    long = F.length("low")
+    hit = places.select("key", "at", "window", heads).join(labels.withColumn("head", F.left("low", F.lit(3))), "head")
+    found = hit.filter(F.startswith("window", "low") & ~word(F.substring("window", long + 1, F.lit(1))))
+    return found.select("key", "term_id", "label", (F.col("at") - 1).cast("long").alias("at"))
 
 
 def tool_texts(calls: DataFrame, key: str, tool: str, given: str, result: str, own: str) -> DataFrame:
