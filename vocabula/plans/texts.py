@@ -152,6 +152,39 @@ cleaned AS (SELECT doc_id, line, method, o, level, trim({_INLINE.replace("(t,",
 kept AS (SELECT * FROM cleaned WHERE {_TERM_OK} QUALIFY row_number() OVER (PARTITION BY doc_id, line, lower(term) ORDER BY method, o) = 1)"""
 _FILES = f"""WITH {CONCEPTS_SQL}, f AS (SELECT path, NOT list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build', '.git', '.next', '.nuxt', '__pycache__', '.venv', 'venv', '.env', 'coverage', '.cache',
   '.turbo', '.output', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml']) AND NOT regexp_matches(path, '([.]min[.]js|[.]min[.]css|[.]map|[.]lock)(/|$)') AS keep FROM (SELECT DISTINCT filePath AS path FROM concepts))"""
+#: The source texts that corpus() makes, read line by line: declarations by language, blocks by their braces or indents.
+_SCAN = rf"""WITH {CONCEPTS_SQL}, made AS (SELECT filePath AS path, concept_row, CASE WHEN language = 'python' THEN
+    CASE kind WHEN 'class' THEN 'class ' || name || ':' || chr(10) || '    pass' WHEN 'constant' THEN upper(name) || ' = 1' ELSE 'def ' || name || '():' || chr(10) || '    return 1' END
+  ELSE CASE kind WHEN 'class' THEN x || 'class ' || name || ' {{' || chr(10) || '  run(x) {{ return x }}' || chr(10) || '}}' WHEN 'constant' THEN 'export const ' || name || ' = 1'
+    WHEN 'function' THEN x || 'function ' || name || '(a, b) {{' || chr(10) || '  return a' || chr(10) || '}}' WHEN 'interface' THEN x || 'interface ' || name || ' {{' || chr(10) || '}}' ELSE x || 'enum ' || name || ' {{' || chr(10) || '}}' END END AS t
+  FROM (SELECT *, CASE WHEN exported THEN 'export ' ELSE '' END AS x FROM concepts) WHERE language IN ('typescript', 'javascript', 'python') AND kind IN ('class', 'function', 'constant', 'interface', 'enum')),
+file AS (SELECT *, regexp_extract(path, '[.]([^./]+)$', 1) AS ext, regexp_extract(path, '([^/]+)[.][^./]+$', 1) AS stem FROM (SELECT path, string_agg(t, chr(10) ORDER BY concept_row, t) AS content FROM made GROUP BY path)),
+f AS (SELECT *, CASE WHEN ext IN ('ts', 'tsx') THEN 'typescript' WHEN ext IN ('js', 'jsx') THEN 'javascript' WHEN ext = 'py' THEN 'python' END AS language, string_split(content, chr(10)) AS l FROM file
+  WHERE ext IN ('ts', 'tsx', 'js', 'jsx', 'py') AND len(string_split(path, '/')) <= 21 AND length(content) <= 1048576 AND NOT regexp_matches(path, '([.]min[.]js|[.]min[.]css|[.]map|[.]lock)(/|$)')
+  AND NOT list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build', '.git', '.next', '.nuxt', '__pycache__', '.venv', 'venv', '.env', 'coverage', '.cache', '.turbo', '.output'])),
+n AS (SELECT path, language, len(l) AS n, i, l[i] AS s, length(l[i]) - length(ltrim(l[i])) AS indent FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM f)),
+hit AS (
+  SELECT path, language, n, i, indent, 0 AS rank, 'class' AS kind, regexp_extract(s, '^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(\w+)', 1) AS name, starts_with(ltrim(s), 'export ') AS exported FROM n WHERE language <> 'python'
+  UNION ALL SELECT path, language, n, i, indent, 1, 'function', regexp_extract(s, '^(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+(\w+)\s*\([^)]*\)', 1), starts_with(s, 'export ') FROM n WHERE language <> 'python'
+  UNION ALL SELECT path, language, n, i, indent, 2, 'interface', regexp_extract(s, '^(?:export\s+(?:default\s+)?)?interface\s+(\w+)', 1), starts_with(s, 'export ') FROM n WHERE language = 'typescript'
+  UNION ALL SELECT path, language, n, i, indent, 3, 'enum', regexp_extract(s, '^(?:export\s+)?(?:const\s+)?enum\s+(\w+)', 1), starts_with(s, 'export ') FROM n WHERE language = 'typescript'
+  UNION ALL SELECT path, language, n, i, indent, 4, 'constant', regexp_extract(s, '^export\s+(?:const|let|var)\s+(\w+)\s*[=:]', 1), true FROM n WHERE language <> 'python' AND NOT contains(s, '=>') AND NOT contains(s, 'function') AND NOT contains(s, 'type ')
+  UNION ALL SELECT path, language, n, i, indent, 0, 'class', name, NOT starts_with(name, '_') FROM (SELECT *, regexp_extract(s, '^class\s+(\w+)\s*(?:\([^)]*\))?\s*:', 1) AS name FROM n WHERE language = 'python')
+  UNION ALL SELECT path, language, n, i, indent, 1, 'function', name, NOT starts_with(name, '_') FROM (SELECT *, regexp_extract(s, '^(?:async\s+)?def\s+(\w+)\s*\(', 1) AS name FROM n WHERE language = 'python')
+  UNION ALL SELECT path, language, n, i, indent, 2, 'constant', regexp_extract(s, '^([A-Z][A-Z0-9_]+)\s*[=:]', 1), true FROM n WHERE language = 'python'),
+depth AS (SELECT h.path, h.i, h.rank, m.i AS j, sum(length(m.s) - length(replace(m.s, '{{', '')) - length(m.s) + length(replace(m.s, '}}', ''))) OVER w AS d, sum(length(m.s) - length(replace(m.s, '{{', ''))) OVER w AS o
+  FROM hit h JOIN n m ON m.path = h.path AND m.i >= h.i WHERE h.name <> '' AND h.language <> 'python' AND h.kind <> 'constant' WINDOW w AS (PARTITION BY h.path, h.i, h.rank ORDER BY m.i)),
+stop AS (SELECT path, i, rank, min(j) AS e FROM depth WHERE o > 0 AND d <= 0 GROUP BY ALL
+  UNION ALL SELECT h.path, h.i, h.rank, coalesce(min(m.i) - 1, any_value(h.n)) FROM hit h LEFT JOIN n m ON m.path = h.path AND m.i > h.i AND trim(m.s) <> '' AND NOT starts_with(ltrim(m.s), '#') AND m.indent <= h.indent
+    WHERE h.name <> '' AND h.language = 'python' AND h.kind <> 'constant' GROUP BY ALL),
+decl AS (SELECT h.*, s.e FROM hit h LEFT JOIN stop s USING (path, i, rank) WHERE h.name <> ''),
+member AS (SELECT c.path, c.language, c.i AS owner, m.i, c.name AS cls, regexp_extract(m.s, '^\s+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?(\w+)\s*\([^)]*\)', 1) AS name, c.exported, NULL::BIGINT AS e FROM decl c JOIN n m ON m.path = c.path AND m.i > c.i AND m.i <= coalesce(c.e, c.n)
+  WHERE c.kind = 'class' AND c.language <> 'python' AND (NOT contains(m.s, '=') OR contains(m.s, '=>'))),
+every AS (
+  SELECT path AS id, stem AS name, 'module' AS kind, 1 AS line, len(l) AS endLine, CASE WHEN language = 'python' THEN NOT starts_with(stem, '_') OR stem = '__init__' ELSE regexp_matches(content, '\bexport\b') END AS exported, language, NULL AS parentId, -1 AS rank, 0 AS o, 0 AS oo FROM f
+  UNION ALL SELECT path || '#' || name, name, kind, i, e, exported, language, path, rank, i, 0 FROM decl
+  UNION ALL SELECT path || '#' || cls || '.' || name, name, 'function', i, e, exported, language, path || '#' || cls, 0, owner, i FROM member WHERE name <> '' AND name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'new', 'super'))
+SELECT id, name, kind, line, endLine, exported, language, parentId FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, o, oo) = 1"""
 _TYPED = "(initiative|epic|story|task|subtask|bug|feature|milestone)"
 #: Lines that are list items, typed titles, user stories, the only line, or stand before a list.
 _TITLES = rf"""WITH n AS (SELECT number AS note_id, string_split(coalesce(body, ''), chr(10)) AS l FROM pull_requests),
@@ -179,6 +212,27 @@ _TOP = f"""WITH {TERMS_SQL}, lab AS (SELECT DISTINCT id, lower(unnest(list_conca
 hit AS (SELECT DISTINCT p.key, l.id AS term_id FROM pr p JOIN lab l ON contains(p.text, l.label) AND regexp_replace(l.label, '[{views.SPACE_SQL}]', '', 'g') <> '' WHERE regexp_matches(p.text, '(^|[^a-z0-9_])' || regexp_escape(l.label) || '($|[^a-z0-9_])')),
 top AS (SELECT key, term_id, row_number() OVER (PARTITION BY key ORDER BY coalesce(t.coupling.score, 0) DESC, term_id) AS rank FROM hit JOIN terms t ON t.id = hit.term_id QUALIFY rank <= 10)"""
 
+_NOTES = f"{ITEMS_SQL}, n AS (SELECT id AS note_id, coalesce(concat_ws(chr(10), title, description), '') AS text FROM items)"
+_rows = lambda kind, table, flags="(?i)": [f"('{kind}', {i}, {_q(flags + rx)}, '{v}', {c})" for i, (rx, v, c) in enumerate(table, 100 * (not flags))]
+_free = lambda kind, rxs, c: [f"('{kind}', {i}, {_q('(?i)' + rx)}, NULL, {c})" for i, rx in enumerate(rxs)]
+_PATTERNS = ", ".join(
+    [*_rows("item_type", p.ITEM_TYPES), *_rows("status", p.STATUSES), *_rows("priority", p.PRIORITIES), *_rows("priority", p.PRIORITY_CODES, ""), *_free("label", p.LABELS, 0.8), *_free("person", p.PERSONS, 0.7), *_free("date", p.DATES, 0.85)]
+)
+#: Matches get marks around them, so their places are the lengths of what stands before; of those that overlap, one is kept from the left.
+_ENTITIES = f"""WITH RECURSIVE {_NOTES}, pat(kind, o, rx, value, c) AS (VALUES {_PATTERNS}),
+m AS (SELECT note_id, kind, o, rx, value, c, string_split(regexp_replace(text, rx, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM n JOIN pat ON regexp_matches(text, rx)),
+e0 AS (SELECT note_id, kind, o, rx, value, c::DOUBLE AS c, split_part(parts[k], chr(2), 1) AS raw, (list_sum(list_transform(parts[1 : k - 1], lambda x: length(x))) - (k - 2))::BIGINT AS start FROM (SELECT *, unnest(generate_series(2, len(parts))) AS k FROM m)),
+e1 AS (SELECT *, start + length(raw) AS stop, regexp_extract(raw, rx, 1) AS g FROM e0),
+e2 AS (SELECT * FROM e1 WHERE kind IN ('status', 'priority') UNION ALL SELECT * FROM e1 WHERE kind = 'item_type' QUALIFY row_number() OVER (PARTITION BY note_id, start ORDER BY o) = 1),
+seq AS (SELECT *, row_number() OVER (PARTITION BY note_id, kind ORDER BY start, c DESC, o) AS rn FROM e2),
+walk AS (SELECT note_id, kind, rn, true AS kept, stop AS reached FROM seq WHERE rn = 1
+  UNION ALL SELECT s.note_id, s.kind, s.rn, s.start >= w.reached, CASE WHEN s.start >= w.reached THEN s.stop ELSE w.reached END FROM walk w JOIN seq s ON s.note_id = w.note_id AND s.kind = w.kind AND s.rn = w.rn + 1),
+ent AS (
+  SELECT s.note_id, s.kind, s.raw, s.value, s.start, s.stop AS "end", s.c AS confidence, s.start AS ord FROM seq s JOIN walk w USING (note_id, kind, rn) WHERE w.kept
+  UNION ALL SELECT note_id, kind, raw, v, start, stop, c, o * 1000000 + start FROM (SELECT *, lower(trim(unnest(string_split(g, ',')))) AS v FROM e1 WHERE kind = 'label') WHERE v <> ''
+  UNION ALL SELECT note_id, kind, raw, trim(g), start, stop, c, o * 1000000 + start FROM e1 WHERE kind = 'date' OR (kind = 'person' AND trim(g) <> '' AND lower(trim(g)) NOT IN ({", ".join(map(_q, sorted(p.COMMON_WORDS)))})))"""
+_NOTE_TITLES = _TITLES.replace("SELECT number AS note_id, string_split(coalesce(body, ''), chr(10)) AS l FROM pull_requests", f"SELECT note_id, string_split(text, chr(10)) AS l FROM (WITH {_NOTES} SELECT * FROM n)")
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -197,6 +251,21 @@ ORACLE = {
     "scan_directories": _FILES + f""", entries AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS entry, array_to_string(p[1:i - 1], '/') AS id FROM (SELECT p, unnest(generate_series(2, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM f WHERE keep))),
         dirs AS (SELECT id, regexp_extract(id, '([^/]+)$', 1) AS name, nullif(regexp_extract(id, '^(.*)/[^/]+$', 1), '') AS parent_id, count(*) AS children FROM entries GROUP BY id)
         SELECT *, CASE lower(name) {" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in scan.DIRECTORIES.items())} ELSE 'Directory containing ' || children || CASE WHEN children = 1 THEN ' item' ELSE ' items' END END AS description FROM dirs""",
+    "scan_concepts": _SCAN,
+    "nl_entities": _ENTITIES + """ SELECT note_id, kind, raw, value, start, "end", confidence FROM ent""",
+    "nl_items": _ENTITIES
+    + rf""", tt AS ({_NOTE_TITLES}), fe AS (SELECT note_id, arg_min(value, ord) FILTER (kind = 'item_type') AS t, arg_min(value, ord) FILTER (kind = 'status') AS s, arg_min(value, ord) FILTER (kind = 'priority') AS pr,
+          arg_min(value, ord) FILTER (kind = 'person' AND regexp_matches(raw, '(?i)assign|owner|@|for\s')) AS who, arg_min(value, ord) FILTER (kind = 'person' AND regexp_matches(raw, '(?i)reported|from\s')) AS by_whom,
+          coalesce(list(value ORDER BY ord) FILTER (kind = 'label'), []) AS l FROM ent GROUP BY note_id)
+        SELECT tt.note_id, line, trim(regexp_replace(regexp_replace(regexp_replace(title, '^\s*[-*•]\s+', ''), '^\s*\d+[.)]\s+', ''), '\s{{2,}}', ' ', 'g')) AS title, coalesce(type, t, 'task') AS type,
+          CASE WHEN regexp_extract(title, '(?i)as\s+a\s+\w+(?:\s+\w+)*,?\s+I\s+want\s+(.+?),?\s+so\s+that\s+(.+)$', 2) <> '' THEN 'Acceptance criteria: ' || trim(regexp_extract(title, '(?i)so\s+that\s+(.+)$', 1)) ELSE '' END AS description,
+          coalesce(s, 'backlog') AS status, coalesce(pr, 'none') AS priority, coalesce(list_filter(l, lambda x, i: list_position(l, x) = i), []) AS labels, who AS assignee, by_whom AS reporter FROM tt LEFT JOIN fe USING (note_id)""",
+    "nl_parse": _ENTITIES
+    + f""", it AS (WITH {ITEMS_SQL}, n AS (SELECT id AS note_id, concat_ws(chr(10), title, description) AS text FROM items) SELECT note_id, {_PAIR} AS v FROM n), tt AS ({_NOTE_TITLES}),
+        j AS (SELECT n.note_id, n.text, it.v[1] AS intent, it.v[2]::DOUBLE AS sure, (SELECT count(*) FROM ent e WHERE e.note_id = n.note_id) AS n_entities, (SELECT avg(confidence) FROM ent e WHERE e.note_id = n.note_id) AS mean,
+          (SELECT count(*) FROM tt WHERE tt.note_id = n.note_id) AS titles FROM n JOIN it USING (note_id)),
+        k AS (SELECT *, CASE WHEN titles > 0 THEN titles WHEN trim(text) <> '' AND length(trim(text)) <= 200 THEN 1 ELSE 0 END AS n_items FROM j)
+        SELECT note_id, intent, floor(least(1.0, 0.4::DOUBLE * sure + 0.3::DOUBLE * coalesce(mean, 0.5) + CASE WHEN n_items > 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5) / 100 AS confidence, n_entities, n_items FROM k""",
     "nl_titles": _TITLES,
     "nl_hierarchy": _RELATIONS,
     "scan_names": f"""WITH {CONCEPTS_SQL} SELECT DISTINCT filePath, name FROM concepts WHERE (language = 'typescript' AND kind IN ('class', 'interface', 'enum') AND (filePath LIKE '%.ts' OR filePath LIKE '%.tsx'))
