@@ -24,7 +24,7 @@ def test_store_round_trip(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, terms.collect()))
     assert meta.first()["version"] == store.VERSION
     store.write_parquet(terms, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    assert store.read_parquet(spark, str(tmp_path / "p")).count() == 2
 
 
 def test_store_missing_broken_and_wrong_version(spark, tmp_path):

@@ -80,23 +80,28 @@ def chosen_terms(ingested: DataFrame | None, inferred: DataFrame) -> DataFrame:
 
 def within(seconds: float, spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
     """Runs the jobs of an extraction and cancels them when they take longer than it may: TimeoutError then."""
-    tag = f"extract-{uuid.uuid4().hex}"
-    late = threading.Event()
+    sc, group, late = spark.sparkContext, f"extract-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        sc.cancelJobGroup(group)
 
     clock = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.setJobGroup(group, "extraction", interruptOnCancel=True)
     clock.start()
     try:
-        return work()
+        out = work()
     except Exception as e:
-        raise TimeoutError(f"the extraction took more than {seconds} s") if late.is_set() else e from None
+        if not late.is_set():
+            raise
+        raise TimeoutError(f"the extraction took more than {seconds} s") from e
     finally:
         clock.cancel()
-        spark.removeTag(tag)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)
+    if late.is_set():
+        raise TimeoutError(f"the extraction took more than {seconds} s")
+    return out
 
 
 def run(concepts: DataFrame, order: str, ingested: DataFrame | None = None, dry_run: bool = False) -> dict[str, DataFrame]:

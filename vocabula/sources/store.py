@@ -19,7 +19,7 @@ VERSION = "1.0.0"
 
 #: Terms that one JSON document may hold, and the name of the pointer to the current version.
 MAX_DOCUMENT = 200_000
-POINTER = "CURRENT"
+POINTER = "_CURRENT"
 
 
 class StoreError(ValueError):
@@ -111,7 +111,12 @@ def write_parquet(terms: DataFrame, path: str) -> str:
 
 
 def _current(spark: SparkSession, path: str) -> str:
-    return spark.read.text(f"{path}/{POINTER}").first()["value"]
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
