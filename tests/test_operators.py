@@ -1,11 +1,13 @@
 """Search, folds, impact, suggestions, text and source parsers."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vocabula.operators import detect, docs, glossary, hierarchy, impact, items, nested, orphans, prlearn, ranking, scan, signals, suggest
+from vocabula.operators import detect, docs, glossary, hierarchy, impact, items, nested, orphans, prlearn, ranking, scan, signals, substrings, suggest
 from vocabula.operators import textparse as tp
 from vocabula.scale import global_rank
 from vocabula.sources.store import TERM
@@ -240,3 +242,51 @@ def test_nested(spark):
     got = sorted((r["rid"], r["parent_key"], r["child"], r["ord"]) for r in nested.flatten(df, "rid", "payload", LISTS).drop("value").distinct().collect())
     assert got == [(1, "a", "alias", 0), (1, "a", "alias", 2), (1, "m", "alias", 0), (2, "7", "changedFile", 0), (6, "c", "alias", 0), (6, "c", "alias", 1), (6, "d", "alias", 0), (7, "e", "alias", 0), (8, "e", "alias", 0), (8, "e", "alias", 2)]
     assert nested.flatten(df.limit(0), "rid", "payload", LISTS).count() == 0
+
+
+def _held(texts, strings, free):
+    """The passes of substrings.found() on lists, joined with the strings."""
+    bits = substrings.table_bits(len(strings))
+    parts = [list(strings[:2]), list(strings[2:])]  # two tasks
+    made = [b for p in parts for b in substrings._pieces(bits)(iter([pa.RecordBatch.from_arrays([pa.array(p, pa.string())], ["low"])]))]
+    by: dict = {}
+    for b in made:
+        by.setdefault(b.column(0)[0].as_py(), []).append(b)
+    one = [substrings._united(pa.Table.from_batches(x)).to_pylist()[0] for x in by.values()]
+    table = substrings._whole([(r["piece"], r["bits"]) for r in one], bits)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
+    run = substrings._look(sorted({len(x) for x in strings if x}), bits, lambda: table, free)
+    return {(r["key"], r["low"], r["at"]) for b in run(iter([batch])) for r in b.to_pylist() if r["low"] in set(strings)}
+
+
+@pytest.mark.parametrize("chunk", [500_000, 7])
+@pytest.mark.parametrize("free", [True, False])
+def test_parts_of_texts(monkeypatch, free, chunk):
+    """detect_labels, detect_topk, detect_context, tool_terms, tool_advice: labels beyond the automaton, against the definition."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(5)
+    texts = ["", "", *("".join(rng.choice("ab_ ]결\U0001f600") for _ in range(rng.randrange(40))) for _ in range(400)), ""]
+    strings = sorted({"".join(rng.choice("ab_ ]결\U0001f600") for _ in range(rng.randrange(7))) for _ in range(300)})
+
+    def first(t, s):
+        stands = (i for i in range(len(t) - len(s) + 1) if t.startswith(s, i) and (not free or detect._free(t, i, i + len(s))))
+        return next(stands, None)
+
+    want = {(k, s, first(t, s)) for k, t in enumerate(texts) for s in strings if s and first(t, s) is not None}
+    assert len(want) > 500 and _held(texts, strings, free) == want
+
+
+def test_labels_that_begin_alike_leave_few_rows():
+    """detect_labels: places met all labels with the same three characters, here 3,000 for each place."""
+    labels = [f"retry job {i}" for i in range(3000)]
+    assert _held(["the retry job 17, retry job 170", "xretry job 5 retry job 3000"], labels, True) == {(0, "retry job 17", 4), (0, "retry job 170", 18)}
+
+
+def test_labels_beyond_the_automaton_meet_whole_texts(spark):
+    labels = spark.range(3000).selectExpr("CAST(id AS STRING) AS id", "concat('Retry job ', id) AS label")
+    labels = labels.union(spark.createDataFrame([("k", "결제 한도"), ("p", "[• x]!"), ("q", "x]"), ("r", "Retry"), ("s", "retry"), ("z", "")], labels.schema))
+    rows = [(1, "the retry JOB 17, retry job 170"), (2, "결제 한도는 결제 한도"), (3, "a[• x]!b [• x]! _x] x]"), (4, ""), (5, None), (7, "xretry retry_ retry job 30000"), (8, "Retry job 5")]
+    texts = spark.createDataFrame(rows, "k long, t string")
+    want = {(1, "17"), (1, "170"), (1, "r"), (1, "s"), (2, "k"), (3, "p"), (3, "q"), (7, "r"), (7, "s"), (8, "5"), (8, "r"), (8, "s")}
+    for most in (0, detect.MAX_AUTOMATON):
+        assert {(r["key"], r["term_id"]) for r in detect.matches(texts, labels, "k", "t", most=most).collect()} == want

@@ -1,8 +1,8 @@
 """Glossary labels found in prompts and tool output.
 
 A label matches in any case where no ASCII letter, digit or underscore adjoins it, so also next to Hangul. All labels are one automaton, built
-once per worker process from a broadcast of labels up to a checked size; above it, labels are joined by their first three characters with
-the places of a text where a word may begin.
+once per worker process from a broadcast of labels up to a checked size; above it, parts of texts that stand free are looked up in a table of
+bits and joined with the labels that are equal to them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocabula.operators import substrings as sub
+from vocabula.scale import cut
 from vocabula.semantics import wide_trim
 
 MAX_AUTOMATON = 2_000_000
@@ -73,17 +75,9 @@ def _automaton(rows: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
 
 
 def _joined(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Places of a text where a word may begin, each with as much of the text as the longest label needs, meet the labels that begin with
-    the same three characters; shorter labels have heads of their own length."""
-    longest = labels.agg(F.max(F.length("low"))).first()[0] or 1
-    word = lambda c: c.rlike("^[A-Za-z0-9_]$")
-    starts = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: (i == 1) | ~word(F.substring("text", i - 1, F.lit(1))))
-    places = rows.select("key", "text", F.explode(starts).alias("at")).select("key", "at", F.substring("text", F.col("at"), F.lit(longest + 1)).alias("window"))
-    heads = F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.left("window", n)))).alias("head")
-    long = F.length("low")
-    hit = places.select("key", "at", "window", heads).join(labels.withColumn("head", F.left("low", F.lit(3))), "head")
-    found = hit.filter(F.startswith("window", "low") & ~word(F.substring("window", long + 1, F.lit(1))))
-    return found.select("key", "term_id", "label", (F.col("at") - 1).cast("long").alias("at"))
+    """Parts of a text that stand free and may be labels meet the labels that are equal to them."""
+    labels = cut(labels)
+    return sub.found(rows, labels, free=True).join(labels, "low").select("key", "term_id", "label", "at")
 
 
 def tool_texts(calls: DataFrame, key: str, tool: str, given: str, result: str, own: str) -> DataFrame:
