@@ -88,3 +88,15 @@ def test_tool_texts(spark):
     found = detect.matches(texts, labels, "key", "text")
     assert sorted((r["key"], r["term_id"]) for r in found.collect()) == [(1, "t"), (1, "u"), (4, "t")]
     assert {r["signal"] for r in detect.advice(found).collect()} == {"prompt"}
+
+
+@pytest.mark.parametrize("name", ["detect_labels", "tool_terms"])
+def test_detection_beyond_the_automaton(spark, monkeypatch, name):
+    """No label meets a place by three characters, and the rows are those of the automaton."""
+    import __spark_entry__ as entry
+
+    want = sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(detect.matches, "__defaults__", (0,))
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "window#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert want and sorted(map(tuple, got.collect())) == want
