@@ -90,7 +90,7 @@ def test_tool_texts(spark):
     assert {r["signal"] for r in detect.advice(found).collect()} == {"prompt"}
 
 
-@pytest.mark.parametrize("name", ["detect_labels", "tool_terms", "detect_topk", "detect_context"])
+@pytest.mark.parametrize("name", ["detect_labels", "tool_terms", "detect_topk", "detect_context", "tool_advice"])
 def test_detection_beyond_the_automaton(spark, monkeypatch, name):
     """No label meets a place by three characters, and the rows are those of the automaton."""
     import __spark_entry__ as entry
