@@ -290,3 +290,18 @@ def test_labels_beyond_the_automaton_meet_whole_texts(spark):
     want = {(1, "17"), (1, "170"), (1, "r"), (1, "s"), (2, "k"), (3, "p"), (3, "q"), (7, "r"), (7, "s"), (8, "5"), (8, "r"), (8, "s")}
     for most in (0, detect.MAX_AUTOMATON):
         assert {(r["key"], r["term_id"]) for r in detect.matches(texts, labels, "k", "t", most=most).collect()} == want
+
+
+@pytest.mark.parametrize("near_rows", [100_000, 3])
+def test_related_terms_are_counted_where_they_meet(spark, monkeypatch, near_rows):
+    """related_terms: pairs of terms were shuffled to be counted."""
+    monkeypatch.setattr(signals, "NEAR_ROWS", near_rows)
+    found = {"q1": "abcd", "q2": "abx", "q3": "ay", "q4": "zz", " Q1 ": "e"}
+    rows = [(i, dt.datetime(2025, 1, 1, 0, i), "query", list(t), q) for i, (q, t) in enumerate(found.items())]
+    u = spark.createDataFrame(rows, "event_id long, ts timestamp, type string, termIds array<string>, query string")
+    got = signals.related(u, spark.createDataFrame([(x,) for x in "abq"], "term_id string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(other_id" in plan and "hashpartitioning(term_id" not in plan
+    by = {"q1": set("abcde"), "q2": set("abx"), "q3": set("ay"), "q4": {"z"}}
+    want = {(t, o): n for t in "ab" for o in "abcdexyz" if t != o and (n := sum(t in s and o in s for s in by.values()))}
+    assert {(r["term_id"], r["other_id"]): r["shared"] for r in got.collect()} == want

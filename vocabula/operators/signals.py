@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocabula import dictionaries as d
+from vocabula.scale import Scratch, total
 from vocabula.semantics import lookup
 
 SIGNALS = list(d.SIGNAL_SCORES)
@@ -121,11 +122,30 @@ def boosts(found: DataFrame, enriched: DataFrame) -> DataFrame:
     return found.select("query", "term_id").join(enriched, "term_id").select("query", "term_id", F.round(F.least(raw, F.lit(0.30)), 9).alias("boost"))
 
 
+#: Rows of the given terms that are broadcast at a time, pairs of terms that a task counts, and the most tasks it takes.
+NEAR_ROWS, TASK_PAIRS, MOST_TASKS = 100_000, 1_000_000, 10_000
+
+
 def related(usage: DataFrame, ids: DataFrame) -> DataFrame:
-    """(term_id, other_id, shared): terms found by the queries of the given terms (at most 50 each)."""
-    mine = patterns(usage, ids=ids).select("term_id", "query")
-    others = query_terms(usage).select("query", F.col("term_id").alias("other_id"))
-    return mine.join(others, "query").filter("term_id <> other_id").groupBy("term_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
+    """(term_id, other_id, shared): terms found by the queries of the given terms (at most 50 each).
+
+    Pairs grow with the product of the terms of a query. All queries of another term are in one task, and blocks of the given terms are
+    brought there, so pairs are counted where they are formed and none of them is shuffled.
+    """
+    scratch = Scratch(usage.sparkSession)
+    mine = scratch.cut(patterns(usage, ids=ids).select("term_id", "query"))
+    asked = mine.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    others = scratch.cut(query_terms(usage).select("query", F.col("term_id").alias("other_id")).join(asked, "query").select("query", "other_id", "n"))
+    blocks = max(1, -(-mine.count() // NEAR_ROWS))
+    tasks = -(-total(others, "n") // (TASK_PAIRS * blocks))
+    tasks = max(int(usage.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, tasks))
+    near = others.select("query", "other_id").repartition(tasks, "other_id")
+    out = None
+    for i in range(blocks):
+        own = mine if blocks == 1 else mine.filter(F.pmod(F.xxhash64("term_id"), F.lit(blocks)) == i)
+        pairs = near.join(F.broadcast(own), "query").filter("term_id <> other_id").groupBy("term_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def recent_log(usage: DataFrame, most: int = d.MAX_LOG) -> DataFrame:
