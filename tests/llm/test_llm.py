@@ -217,6 +217,44 @@ def test_nearest_of_many_that_close_the_gap():
     assert first[:2] == [0, 71]
 
 
+def test_lists_of_shards_are_merged():
+    import numpy as np
+
+    rnd = random.Random(11)
+    docs = [sorted({rnd.randrange(300) for _ in range(rnd.randint(1, 12))}) for _ in range(400)]
+    sizes = np.array([rnd.randint(1, 60) for _ in docs])
+    ix, seeds, k = shard_of(docs), np.arange(60), np.array([rnd.choice([1, 3, 400]) for _ in range(60)])
+    gaps, unused = np.array([rnd.randint(0, 60) for _ in seeds]), np.array([rnd.random() < 0.7 for _ in docs])
+    held, floor = packing.NO_HITS, np.zeros(len(seeds), np.float32)
+    for shard in range(5):  # the texts of a shard only, then what it and those before it told
+        mine = packing.Candidates(ix, unused & (np.arange(400) % 5 == shard), sizes)
+        hits = mine.nearest([ix.terms[s] for s in seeds], gaps, seeds, k, floor)
+        *held, floor = packing.best(*map(np.concatenate, zip(held, hits)), k)
+        assert (np.bincount(held[0][held[1] >= 0], minlength=len(seeds)) <= k).all()  # however many shards there are
+    lists = packing.Lists(*held)
+    for s, gap, n in zip(seeds.tolist(), gaps.tolist(), k.tolist()):
+        score = ix.scores(s)
+        want = sorted((x for d, x in enumerate(score) if x > 0 and unused[d] and sizes[d] <= gap and d != s), reverse=True)
+        near, whole = lists.of(s)
+        assert np.allclose([score[d] for d in near], want[: len(near)], rtol=1e-4) and len(near) >= min(n, len(want)) and whole == (len(near) == len(want) and not floor[s])
+
+
+def test_packing_leaves_little_on_disk(spark):
+    from pathlib import Path
+
+    from vocabula.session import checkpoint_folder
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(800)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(200))) for i in range(1500)]
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+    packed = packing.containers(spark.createDataFrame(rows, "doc_id long, text string"), [2048])
+    left = held() - before
+    assert packed.agg(F.sum("tokens"), F.countDistinct("doc_id")).first()[1] == 1500 and left < 0.5 * sum(len(t) for _, t in rows)
+
+
 def test_counts_are_whole(spark):
     import numpy as np
 
