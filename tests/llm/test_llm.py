@@ -255,6 +255,33 @@ def test_packing_leaves_little_on_disk(spark):
     assert packed.agg(F.sum("tokens"), F.countDistinct("doc_id")).first()[1] == 1500 and left < 0.5 * sum(len(t) for _, t in rows)
 
 
+def test_memory_of_a_round_is_bounded(monkeypatch):
+    """p8_containers: the task that fills held objects of all texts, and the lists of a share of all seeds, which grow with the texts."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    sizes = np.array([rnd.randint(1, 400) for _ in range(1000)] * 400)
+    tracemalloc.start()
+    p = packing.Packing(sizes, 512)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 16 * len(sizes)
+    monkeypatch.setattr(packing, "TOLD", 20_000, raising=False)
+    seeds, gaps, k = p.questions()
+    assert len(seeds) == len(gaps) == len(k) >= 64 and k.sum() <= 20_000
+    assert p.rest[seeds].min() >= np.sort(sizes)[-len(seeds)]
+    # however little a round may ask, all texts are placed
+    monkeypatch.setattr(packing, "TOLD", 1, raising=False)
+    docs = [sorted({rnd.randrange(300) for _ in range(rnd.randint(1, 12))}) for _ in range(600)]
+    sizes = np.array([rnd.choice([0, 5, rnd.randint(1, 60), 400]) for _ in docs])
+    rows = list(packing.pack(shard_of(docs), sizes, 150))
+    assert np.array_equal(np.bincount([r[2] for r in rows], [r[4] for r in rows], len(docs)), sizes) and len({r[:2] for r in rows}) == len(rows)
+    fill = np.bincount([r[0] for r in rows], [r[4] for r in rows]).astype(int)
+    assert fill.max() <= 150 and fill.sum() > 0.9 * 150 * len(fill)
+
+
 def test_counts_are_whole(spark):
     import numpy as np
 
